@@ -121,8 +121,8 @@ def _followers(ring: DataFrame, reach: int, start: int) -> DataFrame:
     The window has no partition key: a ring holds three rows per storage node.
     """
     lap = 1 << 32
-    laps = ring.select(
-        (F.col("ring_hash") + F.explode(F.array(F.lit(0), F.lit(lap)))).alias("_at"), "node_id"
+    laps = ring.select("ring_hash", "node_id", F.explode(F.array(F.lit(0), F.lit(lap))).alias("_lap")).select(
+        (F.col("ring_hash") + F.col("_lap")).alias("_at"), "node_id"
     )
     ahead = Window.orderBy("_at").rowsBetween(start, reach)
     out = laps.select(

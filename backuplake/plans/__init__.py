@@ -4,6 +4,6 @@ from backuplake.plans.registry import ORACLES, QUERIES
 
 
 def load() -> tuple[dict, dict]:
-    from backuplake.plans import relational  # noqa: F401
+    from backuplake.plans import joined, ordered_work, relational  # noqa: F401
 
     return QUERIES, ORACLES

@@ -41,11 +41,11 @@ VIEWS = {
     "keys": """SELECT 'k' || o_orderkey AS key_id, o_custkey AS device_id, 'AES_256_GCM' AS algorithm,
         'SCRYPT' AS key_derivation, o_orderdate AS created_at, epoch_ms(o_orderdate) AS created_ms,
         o_orderstatus = 'O' AS is_active FROM orders""",
-    "pieces": """SELECT doc_id AS file_id, path, pos, d[pos * 4096 + 1 : pos * 4096 + 4096] AS data
+    "pieces": """SELECT doc_id AS file_id, path, lang, pos, d[pos * 4096 + 1 : pos * 4096 + 4096] AS data
         FROM (SELECT *, unnest(generate_series(0, CAST(ceil(octet_length(d) / 4096.0) AS BIGINT) - 1)) AS pos
-              FROM (SELECT doc_id, '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path,
+              FROM (SELECT doc_id, lang, '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path,
                            encode(text) AS d FROM documents))""",
-    "chunks": """SELECT file_id, path, pos, sha256(data) AS chunk_id, octet_length(data) AS size FROM pieces""",
+    "chunks": """SELECT file_id, path, lang, pos, sha256(data) AS chunk_id, octet_length(data) AS size FROM pieces""",
     "requests": """SELECT event_id AS request_id, tenant_id,
         CASE WHEN backup_type IN ('view', 'click') THEN 'BANDWIDTH' ELSE 'STORAGE' END AS resource,
         size AS amount, "timestamp" AS ts FROM ev""",

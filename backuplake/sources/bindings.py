@@ -179,15 +179,18 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("file_id"),
         F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        "lang",
         F.encode("text", "UTF-8").alias("data"),
     )
 
 
 def chunked_files(spark: SparkSession, sf_dir: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Files with the list of their chunk digests."""
-    starts = F.sequence(F.lit(0), F.ceil(F.octet_length("data") / chunk_bytes).cast("int") - 1)
+    count = F.ceil(F.octet_length("data") / chunk_bytes).cast("int")
+    starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     ids = F.transform(starts, lambda i: features.digest(F.substring(F.col("data"), i * chunk_bytes + 1, F.lit(chunk_bytes))))
-    return files(spark, sf_dir).select("file_id", "path", F.octet_length("data").cast("bigint").alias("size"), ids.alias("chunks"))
+    size = F.octet_length("data").cast("bigint")
+    return files(spark, sf_dir).select("file_id", "path", "lang", size.alias("size"), ids.alias("chunks"))
 
 
 def quota_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
