@@ -29,6 +29,8 @@ def query(name: str, sql: str | None = None, views: str = ""):
 
     def add(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Timestamps are UTC throughout, whatever session the caller brings.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return settle(fn(spark, sf_dir))
 
         run.__name__ = name
