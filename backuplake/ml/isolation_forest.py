@@ -103,11 +103,16 @@ def fit(
     names = list(names)
     spark = df.sparkSession
     order = F.xxhash64(F.lit(seed), F.col(key))
+    wanted, rows = trees * sample, df.count()
+    drawn = df
+    if rows > 8 * wanted:
+        # Four times the wanted rows by digest, so that no task sorts more than its share.
+        drawn = df.filter(F.pmod(order, F.lit(1 << 40)) < int((1 << 40) * 4 * wanted / rows))
     # Proven bound: trees x sample rows.
     pool = (
-        df.select(order.alias("_o"), key, *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names])
+        drawn.select(order.alias("_o"), key, *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names])
         .orderBy("_o", key)
-        .limit(trees * sample)
+        .limit(wanted)
         .select(*names)
         .toPandas()
         .to_numpy(dtype="float64")

@@ -13,6 +13,7 @@ from backuplake.functions import features as fx
 from backuplake.ml import features as mf
 from backuplake.operators.sorting import best_by
 from backuplake.operators.windows import optimal_windows
+from backuplake.session import spread
 
 # Answers of an untrained or failed model.
 UNTRAINED = {"duration": 300.0, "success_rate": 0.95, "confidence": 0.5}
@@ -32,7 +33,7 @@ def train_duration(training: DataFrame, trees: int = 100, depth: int = 10, seed:
     forest = RandomForestRegressor(
         featuresCol="features", labelCol="backup_duration", predictionCol="raw_duration", numTrees=trees, maxDepth=depth, seed=seed
     )
-    rows = training.withColumns(mf.backup_features(training))
+    rows = spread(training.withColumns(mf.backup_features(training)).select(*mf.BACKUP_FEATURES, "backup_duration"))
     return Pipeline(stages=[*_stages(list(mf.BACKUP_FEATURES)), forest]).fit(rows)
 
 

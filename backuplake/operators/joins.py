@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from backuplake.functions import features
+from backuplake.session import pin
 
 DEFAULT_QUOTA = 1 << 30
 RING_BUCKET_BITS = 12
@@ -75,31 +76,40 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], checksum:
     return a.join(b, list(keys), "full_outer").withColumn("change", change).drop("_in_old", "_in_new")
 
 
-def lineage(snapshots: DataFrame, max_depth: int = 16) -> DataFrame:
-    """Base snapshot and distance of every snapshot.
+def lineage(snapshots: DataFrame) -> DataFrame:
+    """Base snapshot and distance of every snapshot. `snapshots`: snapshot_id, parent_id.
 
-    Pointer doubling: each step joins the table with itself once and doubles the distance
-    covered, so a chain of n parents takes log2(n) joins. `snapshots`: snapshot_id, parent_id.
+    Pointer doubling: each step doubles the distance covered, so a chain of n parents takes
+    log2(n) joins. Snapshots that have reached their base drop out of the joins, so a base with
+    very many descendants is never a join key.
     """
-    hops = snapshots.select(
-        "snapshot_id",
-        F.coalesce("parent_id", "snapshot_id").alias("base_id"),
-        F.col("parent_id").isNotNull().cast("bigint").alias("depth"),
+    hops = pin(
+        snapshots.select(
+            "snapshot_id",
+            F.coalesce("parent_id", "snapshot_id").alias("base_id"),
+            F.col("parent_id").isNotNull().cast("bigint").alias("depth"),
+            F.col("parent_id").isNotNull().alias("_open"),
+        ),
+        "lineage",
     )
-    reach = 1
-    while reach < max_depth:
+    # A chain cannot be longer than the number of ids; a cycle would never close.
+    for _ in range(64):
+        if hops.filter("_open").isEmpty():
+            return hops.drop("_open")
         up = hops.select(
             F.col("snapshot_id").alias("base_id"),
             F.col("base_id").alias("_up_base"),
             F.col("depth").alias("_up_depth"),
+            F.col("_open").alias("_up_open"),
         )
-        hops = hops.join(up, "base_id", "left").select(
+        moved = hops.filter("_open").join(up, "base_id", "left").select(
             "snapshot_id",
             F.coalesce("_up_base", "base_id").alias("base_id"),
             (F.col("depth") + F.coalesce("_up_depth", F.lit(0))).alias("depth"),
+            F.coalesce("_up_open", F.lit(False)).alias("_open"),
         )
-        reach *= 2
-    return hops
+        hops = pin(hops.filter("NOT _open").unionByName(moved), "lineage")
+    raise ValueError("snapshot parents form a cycle")
 
 
 def ring_points(nodes: DataFrame, node: str = "node_id", points: int = 3) -> DataFrame:

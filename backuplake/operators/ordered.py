@@ -21,7 +21,7 @@ BLOCK = "_block"
 def sorted_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
     """Rows sorted by (keys, order), tagged with a frozen block number.
 
-    The layout is checkpointed because range boundaries are sampled: a second run of the same
+    The layout is written out because range boundaries are sampled: a second run of the same
     exchange could cut elsewhere, and block numbers must mean the same in every job that uses them.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

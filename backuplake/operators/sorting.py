@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from backuplake.functions import features
+from backuplake.sources.sinks import newest
 
 
 def newest_first(df: DataFrame, ts: str, tie: str) -> DataFrame:
@@ -65,4 +66,4 @@ def best_by(df: DataFrame, keys: Sequence[str], value: str, tie: Column, largest
 
 
 def log_tail(log: DataFrame, level: str = "info", lines: int = 100, ts: str = "ts", tie: str = "id") -> DataFrame:
-    return log.filter(F.col("level") == level).orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(lines)
+    return newest(log.filter(F.col("level") == level), [ts, tie], lines)

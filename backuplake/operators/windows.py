@@ -1,5 +1,8 @@
-"""Per-key ordering work. Winners come from `max_by`, which combines map-side and so does not
-mind hot keys; work that needs every row in order goes through `ordered`."""
+"""Per-key ordering work.
+
+Winners come from a rank filter or from `max_by`. Spark cuts the former to the wanted rank in
+each map task, and combines the latter there, so a hot key sends a row per task. Work that
+needs every row in order goes through `ordered`."""
 
 from __future__ import annotations
 
@@ -15,13 +18,8 @@ from backuplake.operators.ordered import BLOCK, running_totals, sorted_blocks
 
 def latest_by(df: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
     """The row with the greatest `by` per key."""
-    rest = [c for c in df.columns if c not in keys]
-    return (
-        df.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("_row"))
-        .select(*keys, "_row.*")
-        .select(*df.columns)
-    )
+    order = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in by])
+    return df.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
 
 
 def resolve_conflicts(files: DataFrame, device_priority: Sequence, device: str = "device_id") -> DataFrame:

@@ -134,7 +134,7 @@ def jn_07(spark, d):
     """Chains of seven incrementals on a full backup, in job order."""
     job = F.col("job_id")
     chain = b.jobs(spark, d).select(job.alias("snapshot_id"), F.when(job % 8 != 0, job - 1).alias("parent_id"))
-    return joins.lineage(chain, max_depth=8)
+    return joins.lineage(chain)
 
 
 # Every key's first three distinct nodes, by comparing it with the whole ring.

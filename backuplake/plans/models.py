@@ -13,8 +13,6 @@ from backuplake.session import shared_path
 from backuplake.sources import bindings as b
 
 HEALTH = list(mf.HEALTH_FEATURES)
-# Ensemble size of the registered queries; the library default is 200 per model.
-QUERY_TREES = 10
 
 
 @query(
@@ -117,7 +115,7 @@ _RUN_KEY = "request_id || '-' || device_id || '-' || CAST(file_count AS BIGINT)"
 def ml_05(spark, d):
     """Held-out runs: no duration under thirty seconds, and nine tenths of the variance explained."""
     train, test = mf.split(_runs(spark, d), F.col("run_key"))
-    model = regressors.train_duration(train, trees=QUERY_TREES)
+    model = regressors.train_duration(train)
     scored = regressors.predict_duration(test, model, "run_key")
     error = F.avg(F.pow(F.col("predicted_duration") - F.col("backup_duration"), 2))
     return scored.agg(
@@ -141,7 +139,7 @@ def _history(spark, d):
 
 def _window_model(spark, d):
     key = F.concat_ws(":", "tenant_id", F.unix_timestamp("timestamp"))
-    return regressors.train_windows(_history(spark, d), key, trees=QUERY_TREES)
+    return regressors.train_windows(_history(spark, d), key)
 
 
 def _next_day(spark, d):
@@ -271,7 +269,7 @@ def ml_12(spark, d):
 )
 def ml_13(spark, d):
     rows = _runs(spark, d)
-    model = regressors.train_duration(mf.split(rows, F.col("run_key"))[0], trees=QUERY_TREES)
+    model = regressors.train_duration(mf.split(rows, F.col("run_key"))[0])
     scored = regressors.score_requests(rows.drop("backup_duration"), model, "run_key", F.lit("2024-02-01").cast("timestamp"))
     advice = F.array_contains("recommendations", "Enable compression to reduce transfer time")
     plausible = (

@@ -18,9 +18,13 @@ from backuplake.streaming import stateful
 from backuplake.streaming.run import run_to_end
 
 
+BATCH_BYTES = str(8 << 30)
+
+
 def _stream(spark, d, name):
-    """A given table as a stream."""
-    return readers.stream(spark, "parquet", b.read(spark, d, name).schema, d, pathGlobFilter=f"{name}.parquet")
+    """A given table as a stream, in batches a micro-batch can hold."""
+    schema = b.read(spark, d, name).schema
+    return readers.stream(spark, "parquet", schema, d, pathGlobFilter=f"{name}.parquet", maxBytesPerTrigger=BATCH_BYTES)
 
 
 def _events(spark, d):

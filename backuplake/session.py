@@ -53,7 +53,22 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage and freezes the row-to-partition layout."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def pin(df: DataFrame, purpose: str = "pin") -> DataFrame:
+    """Writes the rows to the shared folder and reads them back.
+
+    Cuts lineage and freezes sampled or tagged values; unlike a checkpoint, later steps read
+    only the columns they need.
+    """
+    path = shared_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows spread over all cores when the scan has too few splits for CPU-heavy work.
+
+    A table of many files is left as it is: its splits already keep the cluster busy, and a
+    shuffle of payloads would cost more than it brings.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

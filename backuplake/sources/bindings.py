@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from backuplake.functions import features
+from backuplake.session import spread
 
 CHUNK_BYTES = 4096
 
@@ -176,7 +177,7 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files with their bytes."""
-    return read(spark, sf_dir, "documents").select(
+    return spread(read(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("file_id"),
         F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
         "lang",

@@ -73,12 +73,12 @@ def directory_listing(spark: SparkSession, root: str) -> DataFrame:
 
 def with_directories(files: DataFrame) -> DataFrame:
     """Adds one row per directory that holds a file, derived from the paths."""
-    parts = F.split(F.col("path"), "/")
-    depths = F.sequence(F.lit(2), F.size(parts) - 1)
-    prefixes = F.when(
-        F.size(parts) > 2, F.transform(depths, lambda d: F.array_join(F.slice(parts, F.lit(1), d), "/"))
-    ).otherwise(F.array().cast("array<string>"))
-    folders = files.select(F.explode(prefixes).alias("path")).distinct()
+    parts = F.split(F.col("parent_path"), "/")
+    depths = F.sequence(F.lit(2), F.size(parts))
+    prefixes = F.transform(depths, lambda d: F.array_join(F.slice(parts, F.lit(1), d), "/"))
+    # Files of one folder shrink to one row before its prefixes are made.
+    parents = files.select("parent_path").filter("parent_path <> '/'").distinct()
+    folders = parents.select(F.explode(prefixes).alias("path")).distinct()
     rows = folders.select(
         "path",
         F.lit(0).cast("bigint").alias("size"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from backuplake import schemas
@@ -34,8 +34,22 @@ def append_predictions(predictions: DataFrame, path: str) -> None:
 
 
 def newest(log: DataFrame, by: list[str], keep: int = 10_000) -> DataFrame:
-    """The newest `keep` rows of a log; `by` must end in a unique column."""
-    return log.orderBy(*[F.col(c).desc() for c in by]).limit(keep)
+    """The newest `keep` rows of a log; `by` starts with its time and ends in a unique column.
+
+    Hourly counts first tell how far back the rows reach. Without that every task of a long log
+    would hand its own newest `keep` rows to the one task that picks among them.
+    """
+    ts = by[0]
+    hours = log.filter(F.col(ts).isNotNull()).groupBy(F.date_trunc("hour", ts).alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per hour of the log.
+    later = Window.orderBy(F.col("_hour").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    reach = (
+        hours.withColumn("_newer", F.coalesce(F.sum("_n").over(later), F.lit(0)))
+        .filter(F.col("_newer") < keep)
+        .agg(F.min("_hour").alias("_from"))
+    )
+    recent = log.join(F.broadcast(reach), F.col(ts) >= F.col("_from"), "inner").drop("_from")
+    return recent.orderBy(*[F.col(c).desc() for c in by]).limit(keep)
 
 
 def compact_predictions(spark: SparkSession, path: str, target: str, by: list[str], keep: int = 10_000) -> None:
