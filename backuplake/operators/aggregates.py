@@ -185,10 +185,17 @@ def synthetic_ratios(stored: DataFrame, inputs: DataFrame) -> DataFrame:
 
 
 def series_features(df: DataFrame, keys: Sequence[str], size: str, duration: str) -> DataFrame:
-    """Size and duration statistics per series, with sample-corrected shape measures."""
+    """Size and duration statistics per series, with sample-corrected shape measures.
+
+    Shape is null below three (four) values and zero for a constant series.
+    """
     n = F.count(duration).cast("double")
-    skew = F.when(n >= 3, F.skewness(duration) * F.sqrt(n * (n - 1)) / (n - 2))
-    kurt = F.when(n >= 4, ((n + 1) * F.kurtosis(duration) + 6) * (n - 1) / ((n - 2) * (n - 3)))
+    flat = F.min(duration) == F.max(duration)
+    skew = F.when(n >= 3, F.when(flat, 0.0).otherwise(F.skewness(duration) * F.sqrt(n * (n - 1)) / (n - 2)))
+    kurt = F.when(
+        n >= 4,
+        F.when(flat, 0.0).otherwise(((n + 1) * F.kurtosis(duration) + 6) * (n - 1) / ((n - 2) * (n - 3))),
+    )
     return df.groupBy(*keys).agg(
         F.avg(size).alias("size_mean"),
         F.stddev(size).alias("size_std"),
@@ -202,16 +209,19 @@ def series_features(df: DataFrame, keys: Sequence[str], size: str, duration: str
 
 
 def series_trend(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """Slope against the row index and lag-1 autocorrelation; both zero for one row."""
+    """Slope against the row index and lag-1 autocorrelation; both zero for one row.
+
+    The autocorrelation of a constant series is null.
+    """
     rows = indexed_with_next(df.select(*keys, *order, value), keys, order, value)
     many = F.count(F.lit(1)) > 1
+    now, nxt = F.col(value).cast("double"), F.col("next_value").cast("double")
+    # `corr` divides by the deviations and fails on a constant series.
+    paired = F.when(nxt.isNotNull(), now)
+    spread = F.sqrt(F.var_pop(paired)) * F.sqrt(F.var_pop(nxt))
     return rows.groupBy(*keys).agg(
-        F.when(many, F.regr_slope(F.col(value).cast("double"), F.col("idx").cast("double")))
-        .otherwise(F.lit(0.0))
-        .alias("trend_slope"),
-        F.when(many, F.corr(F.col(value).cast("double"), F.col("next_value").cast("double")))
-        .otherwise(F.lit(0.0))
-        .alias("lag1_autocorrelation"),
+        F.when(many, F.regr_slope(now, F.col("idx").cast("double"))).otherwise(F.lit(0.0)).alias("trend_slope"),
+        F.when(many, F.try_divide(F.covar_pop(paired, nxt), spread)).otherwise(F.lit(0.0)).alias("lag1_autocorrelation"),
     )
 
 

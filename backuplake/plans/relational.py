@@ -87,7 +87,7 @@ def src_03(spark, d):
     rows = b.backup_training(spark, d).withColumns(
         {"file_count": F.col("file_count").cast("int"), "total_size": F.col("total_size").cast("bigint")}
     )
-    rows.select(*schemas.BACKUP_TRAINING.fieldNames()).write.json(path)
+    rows.select(*schemas.column_names(schemas.BACKUP_TRAINING)).write.json(path)
     read = spark.read.schema(schemas.BACKUP_TRAINING).json(path)
     return read.agg(
         F.count(F.lit(1)).alias("n"),

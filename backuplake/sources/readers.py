@@ -10,7 +10,7 @@ from backuplake import schemas
 from backuplake.functions import text
 
 
-def stream(spark: SparkSession, fmt: str, schema: StructType | None, path: str | None = None, **options: str) -> DataFrame:
+def stream(spark: SparkSession, fmt: str, schema: StructType | str | None, path: str | None = None, **options: str) -> DataFrame:
     """Streaming source. `kafka` needs its connector on the cluster and takes no schema."""
     reader = spark.readStream.format(fmt).options(**options)
     if schema is not None and fmt != "kafka":
@@ -34,12 +34,12 @@ def typed_events(df: DataFrame, value: str = "value") -> DataFrame:
     return df.select(F.from_json(value, schemas.BACKUP_EVENT).alias("e")).select("e.*")
 
 
-def training_set(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def training_set(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Rows of a JSON training document."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def table(spark: SparkSession, name_or_path: str, fmt: str = "parquet", schema: StructType | None = None, **options: str) -> DataFrame:
+def table(spark: SparkSession, name_or_path: str, fmt: str = "parquet", schema: StructType | str | None = None, **options: str) -> DataFrame:
     """A job, restore or snapshot table: catalog name, file path, or any connector format."""
     if fmt == "table":
         return spark.table(name_or_path)
@@ -50,7 +50,10 @@ def table(spark: SparkSession, name_or_path: str, fmt: str = "parquet", schema:
 
 
 def directory_listing(spark: SparkSession, root: str) -> DataFrame:
-    """Metadata of all files below `root`; contents are never read."""
+    """Metadata of all files below `root`; contents are never read.
+
+    Spark's file index leaves out files of zero bytes.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)

@@ -74,4 +74,4 @@ def write_manifest(manifest: DataFrame, path: str, mode: str = "append") -> None
 
 def write_keys(keys: DataFrame, path: str) -> None:
     """Key metadata as JSON; columns outside the registry schema, such as secrets, are dropped."""
-    keys.select(*[f.name for f in schemas.DEVICE_KEYS.fields]).write.mode("errorifexists").json(path)
+    keys.select(*schemas.column_names(schemas.DEVICE_KEYS)).write.mode("errorifexists").json(path)
