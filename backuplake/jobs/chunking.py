@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backuplake.functions.features import digest
@@ -25,8 +25,8 @@ def split_fixed(files: DataFrame, chunk_bytes: int = MIB, keys: Sequence[str] =
     return cut.select("*", F.octet_length("data").cast("bigint").alias("length"), digest(F.col("data")).alias("digest"))
 
 
-def reassemble(chunks: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
-    """Chunk data joined in position order, one row per file.
+def reassemble(chunks: DataFrame, keys: Sequence[str] = ("path",), **measures: Column) -> DataFrame:
+    """Chunk data joined in position order, one row per file, with any further aggregates.
 
     The result is one value per file, so a file is limited by the size of a binary value;
     larger restores keep chunk rows and write them in order.
@@ -35,7 +35,8 @@ def reassemble(chunks: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
     merged = F.aggregate(
         F.transform("_parts", lambda p: p["data"]), F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x)
     )
-    return chunks.groupBy(*keys).agg(parts.alias("_parts")).select(*keys, merged.alias("data"))
+    more = [expr.alias(name) for name, expr in measures.items()]
+    return chunks.groupBy(*keys).agg(parts.alias("_parts"), *more).select(*keys, merged.alias("data"), *measures)
 
 
 def gear_table() -> np.ndarray:

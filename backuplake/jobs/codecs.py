@@ -37,30 +37,35 @@ def unpack(data: bytes, codec: str, length: int) -> bytes:
     return pa.Codec(codec).decompress(data, decompressed_size=length, asbytes=True)
 
 
-def compressed(data: Column, codec: str, level: int | None = None) -> Column:
-    """The packed bytes of a binary column."""
-    codec = codec_name(codec)
+def _codec_column(codec: str | Column) -> Column:
+    return F.lit(codec_name(codec)) if isinstance(codec, str) else F.lower(codec)
+
+
+def compressed(data: Column, codec: str | Column, level: int | None = None) -> Column:
+    """The packed bytes of a binary column, by one codec or by each row's own."""
 
     @F.pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda value: pack(value, codec, level), na_action="ignore")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for values, names in batches:
+            yield pd.Series(
+                [None if v is None else pack(v, codec_name(n), level) for v, n in zip(values, names)], dtype=object
+            )
 
-    return run(data)
+    return run(data, _codec_column(codec))
 
 
-def decompressed(data: Column, length: Column, codec: str) -> Column:
+def decompressed(data: Column, length: Column, codec: str | Column) -> Column:
     """The original bytes; `length` is the stored original length."""
-    codec = codec_name(codec)
 
     @F.pandas_udf("binary")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for packed, sizes in batches:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for packed, sizes, names in batches:
             yield pd.Series(
-                [None if p is None else unpack(p, codec, int(n)) for p, n in zip(packed, sizes)], dtype=object
+                [None if p is None else unpack(p, codec_name(c), int(n)) for p, n, c in zip(packed, sizes, names)],
+                dtype=object,
             )
 
-    return run(data, length)
+    return run(data, length, _codec_column(codec))
 
 
 def best_codec(chunks: DataFrame, data: str = "data") -> DataFrame:

@@ -13,7 +13,6 @@ from backuplake.functions import features as fx
 from backuplake.ml import features as mf
 from backuplake.operators.sorting import best_by
 from backuplake.operators.windows import optimal_windows
-from backuplake.session import spread
 
 # Answers of an untrained or failed model.
 UNTRAINED = {"duration": 300.0, "success_rate": 0.95, "confidence": 0.5}
@@ -29,11 +28,17 @@ def _stages(names: list[str]) -> list:
 
 
 def train_duration(training: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42) -> PipelineModel:
-    """Random forest for the duration of a backup."""
+    """Random forest for the duration of a backup; every split sees all features."""
     forest = RandomForestRegressor(
-        featuresCol="features", labelCol="backup_duration", predictionCol="raw_duration", numTrees=trees, maxDepth=depth, seed=seed
+        featuresCol="features",
+        labelCol="backup_duration",
+        predictionCol="raw_duration",
+        numTrees=trees,
+        maxDepth=depth,
+        featureSubsetStrategy="all",
+        seed=seed,
     )
-    rows = spread(training.withColumns(mf.backup_features(training)).select(*mf.BACKUP_FEATURES, "backup_duration"))
+    rows = training.withColumns(mf.backup_features(training)).select(*mf.BACKUP_FEATURES, "backup_duration")
     return Pipeline(stages=[*_stages(list(mf.BACKUP_FEATURES)), forest]).fit(rows)
 
 
@@ -110,7 +115,7 @@ def _window_names() -> list[str]:
 
 
 def train_windows(
-    history: DataFrame, key: Column, trees: int = 200, depth: int = 5, seed: int = 42
+    history: DataFrame, key: Column, trees: int = 200, depth: int = 8, boost_depth: int = 3, seed: int = 42
 ) -> tuple[WindowModel, DataFrame]:
     """The ensemble and its MSE and R2 on the held-out fifth.
 
@@ -120,10 +125,14 @@ def train_windows(
     least, most = mf.range_of(history, "window_quality_score").first()
     rows = rows.withColumn("label", mf.to_unit(F.col("window_quality_score"), F.lit(least), F.lit(most)))
     train, test = mf.split(rows, key, seed)
-    common = {"featuresCol": "features", "labelCol": "label", "maxDepth": depth, "seed": seed}
+    common = {"featuresCol": "features", "labelCol": "label", "featureSubsetStrategy": "all", "seed": seed}
     learners = {
-        "random_forest": RandomForestRegressor(predictionCol="random_forest", numTrees=trees, **common),
-        "gradient_boosting": GBTRegressor(predictionCol="gradient_boosting", maxIter=trees, **common),
+        "random_forest": RandomForestRegressor(
+            predictionCol="random_forest", numTrees=trees, maxDepth=depth, **common
+        ),
+        "gradient_boosting": GBTRegressor(
+            predictionCol="gradient_boosting", maxIter=trees, maxDepth=boost_depth, **common
+        ),
     }
     models, quality = {}, []
     for name, learner in learners.items():

@@ -39,16 +39,16 @@ def job_03(spark, d):
     """Content-defined chunks joined again give the file; only a file's last chunk may be short."""
     low, high = 512, 8192
     rows = chunking.split_by_content(b.files(spark, d), low, 10, high, ["file_id"])
-    last = F.struct("pos", "length")
-    sizes = rows.groupBy("file_id").agg(
-        F.sum("length").alias("bytes"),
-        (F.max("length") <= high).alias("not_long"),
-        (F.count_if(F.col("length") < low) - F.when(F.max(last)["length"] < low, 1).otherwise(0)).alias("short"),
-    )
-    whole = chunking.reassemble(rows, ["file_id"]).select("file_id", digest(F.col("data")).alias("digest"))
-    return whole.join(sizes, "file_id").select(
-        "file_id", "bytes", "digest", (F.col("not_long") & (F.col("short") == 0)).alias("sizes_ok")
+    last = F.max(F.struct("pos", "length"))["length"]
+    whole = chunking.reassemble(
+        rows,
+        ["file_id"],
+        bytes=F.sum("length"),
+        longest=F.max("length"),
+        short=F.count_if(F.col("length") < low) - F.when(last < low, 1).otherwise(0),
     )
+    fits = (F.col("longest") <= high) & (F.col("short") == 0)
+    return whole.select("file_id", "bytes", digest(F.col("data")).alias("digest"), fits.alias("sizes_ok"))
 
 
 @query(
@@ -68,16 +68,12 @@ def job_04(spark, d):
     "pieces chunks",
 )
 def job_05(spark, d):
-    """Every chunk through every codec and back."""
-    out = None
-    for codec in codecs.LEVELS:
-        packed = _chunks(spark, d).withColumn("packed", codecs.compressed(F.col("data"), codec))
-        back = codecs.decompressed(F.col("packed"), F.col("length"), codec)
-        part = packed.select(
-            F.lit(codec).alias("codec"), "file_id", "pos", "length", (back == F.col("data")).alias("restored")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Every chunk through every codec and back, in one pass over the chunks."""
+    names = F.array(*[F.lit(c) for c in codecs.LEVELS])
+    rows = _chunks(spark, d).select("file_id", "pos", "length", "data", F.explode(names).alias("codec"))
+    packed = rows.withColumn("packed", codecs.compressed(F.col("data"), F.col("codec")))
+    back = codecs.decompressed(F.col("packed"), F.col("length"), F.col("codec"))
+    return packed.select("codec", "file_id", "pos", "length", (back == F.col("data")).alias("restored"))
 
 
 @query(

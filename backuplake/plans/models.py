@@ -137,9 +137,16 @@ def _history(spark, d):
     )
 
 
+# Two queries look at the same ensemble; it is trained once per application and table folder.
+_ENSEMBLES: dict[tuple[str, str], regressors.WindowModel] = {}
+
+
 def _window_model(spark, d):
-    key = F.concat_ws(":", "tenant_id", F.unix_timestamp("timestamp"))
-    return regressors.train_windows(_history(spark, d), key)
+    name = (spark.sparkContext.applicationId, d)
+    if name not in _ENSEMBLES:
+        key = F.concat_ws(":", "tenant_id", F.unix_timestamp("timestamp"))
+        _ENSEMBLES[name] = regressors.train_windows(_history(spark, d), key)[0]
+    return _ENSEMBLES[name]
 
 
 def _next_day(spark, d):
@@ -157,7 +164,7 @@ def _next_day(spark, d):
     "ev",
 )
 def ml_06(spark, d):
-    model, _report = _window_model(spark, d)
+    model = _window_model(spark, d)
     scored = model.predict(_next_day(spark, d))
     return scored.groupBy("tenant_id").agg(
         F.count(F.lit(1)).alias("hours"), F.bool_and(F.col("quality_score").between(-0.5, 1.5)).alias("in_range")
@@ -172,7 +179,7 @@ def ml_06(spark, d):
 )
 def ml_07(spark, d):
     """The quality of an hour is its success rate here, so that feature must come first."""
-    model, _report = _window_model(spark, d)
+    model = _window_model(spark, d)
     return model.importances(spark).groupBy("model").agg(
         F.count(F.lit(1)).alias("features"),
         (F.abs(F.sum("importance") - 1) < 1e-6).alias("adds_up"),

@@ -65,8 +65,9 @@ def pin(df: DataFrame, purpose: str = "pin") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows spread over all cores when the scan has too few splits for CPU-heavy work.
+    """Rows of a table scan spread over all cores when it has too few splits for CPU-heavy work.
 
+    Meant for plain scans: asking a plan with shuffles for its partitions would run them.
     A table of many files is left as it is: its splits already keep the cluster busy, and a
     shuffle of payloads would cost more than it brings.
     """

@@ -240,7 +240,7 @@ def hourly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backup_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backup runs with their load and duration, one per line item."""
     count, size = F.col("l_quantity") * 20, F.col("l_extendedprice") * 100
-    return read(spark, sf_dir, "lineitem").select(
+    return spread(read(spark, sf_dir, "lineitem")).select(
         F.col("l_orderkey").alias("request_id"),
         F.col("l_suppkey").alias("device_id"),
         count.alias("file_count"),
