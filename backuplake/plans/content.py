@@ -200,7 +200,7 @@ def job_12(spark, d):
     new = b.devices(spark, d).filter("is_online").select(
         F.concat(F.lit("n"), F.col("device_id").cast("string")).alias("key_id"),
         "device_id",
-        F.lit("2024-01-01").cast("timestamp").alias("created_at"),
+        F.lit("2024-01-01").cast("timestamp_ntz").alias("created_at"),
         F.lit(True).alias("is_active"),
     )
     registry = b.keys(spark, d).select("key_id", "device_id", "created_at", "is_active")
@@ -223,7 +223,7 @@ _AS_OF = "2001-12-01"
     "versions chunk_index jobs",
 )
 def job_13(spark, d):
-    as_of = F.lit(_AS_OF).cast("timestamp")
+    as_of = F.lit(_AS_OF).cast("timestamp_ntz")
     files = cleanup.expired_files(b.versions(spark, d), as_of)
     jobs = cleanup.finished_jobs(b.jobs(spark, d).withColumnRenamed("created_at", "start_time"), as_of)
     recent = files[0].filter("backup_time > '2001-01-01'")

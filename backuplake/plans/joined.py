@@ -58,7 +58,7 @@ _USAGE = """use AS (SELECT tenant_id, resource, CAST(sum(amount) AS BIGINT) AS u
 )
 def jn_03(spark, d):
     requests = b.quota_requests(spark, d)
-    cut = F.lit("2024-01-10").cast("timestamp")
+    cut = F.lit("2024-01-10").cast("timestamp_ntz")
     usage = requests.filter(F.col("ts") < cut).groupBy("tenant_id", "resource").agg(F.sum("amount").alias("used"))
     quotas = (
         b.events(spark, d)

@@ -265,7 +265,7 @@ def ml_12(spark, d):
     scores = b.events(spark, d).groupBy("device_id", F.date_trunc("hour", "timestamp").alias("hour_ts")).agg(
         (ok / F.count(F.lit(1))).alias("quality_score")
     )
-    return regressors.recommend(scores, ["device_id"], F.lit("2024-02-01").cast("timestamp"))
+    return regressors.recommend(scores, ["device_id"], F.lit("2024-02-01").cast("timestamp_ntz"))
 
 
 @query(
@@ -277,7 +277,7 @@ def ml_12(spark, d):
 def ml_13(spark, d):
     rows = _runs(spark, d)
     model = regressors.train_duration(mf.split(rows, F.col("run_key"))[0])
-    scored = regressors.score_requests(rows.drop("backup_duration"), model, "run_key", F.lit("2024-02-01").cast("timestamp"))
+    scored = regressors.score_requests(rows.drop("backup_duration"), model, "run_key", F.lit("2024-02-01").cast("timestamp_ntz"))
     advice = F.array_contains("recommendations", "Enable compression to reduce transfer time")
     plausible = (
         (F.col("predicted_duration") >= 30) & F.col("predicted_success_rate").between(0.7, 0.99) & (F.col("confidence") == 0.8)

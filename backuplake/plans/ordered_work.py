@@ -84,7 +84,7 @@ def win_05(spark, d):
     "snapshots",
 )
 def win_06(spark, d):
-    as_of = F.lit("2001-11-04").cast("timestamp")
+    as_of = F.lit("2001-11-04").cast("timestamp_ntz")
     return windows.retained(b.snapshots(spark, d), as_of).select("snapshot_id", "version_rank")
 
 
@@ -138,7 +138,7 @@ def win_09(spark, d):
 )
 def win_10(spark, d):
     beats = b.events(spark, d).select("device_id", F.col("timestamp").alias("ts"))
-    return windows.stale_peers(beats, F.lit("2024-01-30 23:00:00").cast("timestamp"))
+    return windows.stale_peers(beats, F.lit("2024-01-30 23:00:00").cast("timestamp_ntz"))
 
 
 @query(

@@ -192,7 +192,7 @@ def snk_02(spark, d):
 )
 def snk_03(spark, d):
     log = sinks.with_expiry(b.events(spark, d).select("event_id", "device_id", "timestamp"))
-    return sinks.live_updates(log, F.lit("2024-01-15 12:00:00").cast("timestamp"))
+    return sinks.live_updates(log, F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
 
 
 @query(
@@ -292,7 +292,7 @@ _UPDATE_VIEW = """upd AS (SELECT device_id, count(*) AS n FROM jobs WHERE status
 def prj_05(spark, d):
     running = b.jobs(spark, d).filter("status = 'RUNNING'").groupBy("device_id").agg(F.count(F.lit(1)).alias("tenant_id"))
     return projections.apply_updates(
-        b.devices(spark, d), running, "device_id", {"last_sync": F.lit("2024-06-01").cast("timestamp")}
+        b.devices(spark, d), running, "device_id", {"last_sync": F.lit("2024-06-01").cast("timestamp_ntz")}
     )
 
 
@@ -350,7 +350,7 @@ def flt_03d(spark, d):
     "jobs",
 )
 def flt_04(spark, d):
-    at = [F.lit(t).cast("timestamp") for t in ("1996-01-01", "1997-01-01")]
+    at = [F.lit(t).cast("timestamp_ntz") for t in ("1996-01-01", "1997-01-01")]
     return filters.in_range(b.jobs(spark, d), "created_at", *at).select("job_id", "created_at")
 
 
@@ -361,8 +361,8 @@ def flt_04(spark, d):
     "snapshots ev",
 )
 def flt_05(spark, d):
-    kept = filters.since(b.snapshots(spark, d), "created_at", F.lit("2001-01-01").cast("timestamp"))
-    changes = filters.since(b.events(spark, d), "timestamp", F.lit("2024-01-20").cast("timestamp"), strict=True)
+    kept = filters.since(b.snapshots(spark, d), "created_at", F.lit("2001-01-01").cast("timestamp_ntz"))
+    changes = filters.since(b.events(spark, d), "timestamp", F.lit("2024-01-20").cast("timestamp_ntz"), strict=True)
     return kept.select(F.col("snapshot_id").alias("id"), F.lit("snapshot").alias("kind")).unionByName(
         changes.select(F.col("event_id").cast("string").alias("id"), F.lit("change").alias("kind"))
     )
@@ -416,7 +416,7 @@ def flt_10(spark, d):
     state = b.block_writes(spark, d).groupBy("device_id", "block_number").agg(
         F.max("ts").alias("last_modified"), F.lit(True).alias("is_dirty")
     )
-    return filters.dirty_blocks(state, F.lit("2000-01-01").cast("timestamp")).drop("is_dirty")
+    return filters.dirty_blocks(state, F.lit("2000-01-01").cast("timestamp_ntz")).drop("is_dirty")
 
 
 @query("flt_11_online_devices", "SELECT device_id, tenant_id FROM devices WHERE is_online", "devices")
@@ -577,7 +577,7 @@ def fn_01(spark, d):
     "ev",
 )
 def fn_02(spark, d):
-    when, now = F.unix_millis("timestamp"), F.unix_millis(F.lit("2024-01-31").cast("timestamp"))
+    when, now = F.unix_millis(F.col("timestamp").cast("timestamp")), F.unix_millis(F.lit("2024-01-31").cast("timestamp"))
     return b.events(spark, d).select(
         "event_id", text.format_age(when, now).alias("age"), text.format_age_short(when, now).alias("age_short")
     )

@@ -1,4 +1,8 @@
-"""The given tables seen as backup concepts. Mappings only: no rows are left out."""
+"""The given tables seen as backup concepts. Mappings only: no rows are left out.
+
+Times keep the tables' own type (UTC without zone), so that time filters reach the scan; only
+streams, whose watermarks need it, cast to a timestamp with zone.
+"""
 
 from __future__ import annotations
 
@@ -22,9 +26,10 @@ def cents(name: str) -> Column:
 
 def event_columns(df: DataFrame) -> DataFrame:
     """Backup events; works on batch and streaming reads of the events table."""
+    ts = F.col("ts").cast("timestamp") if df.isStreaming else F.col("ts")
     return df.select(
         "event_id",
-        F.col("ts").cast("timestamp").alias("timestamp"),
+        ts.alias("timestamp"),
         F.col("user_id").alias("device_id"),
         (F.col("user_id") % 10).alias("tenant_id"),
         F.col("event_type").alias("backup_type"),
@@ -70,7 +75,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         status.alias("status"),
         cents("o_totalprice").alias("size"),
         (F.floor(price).cast("bigint") % 7200).alias("duration"),
-        F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        F.col("o_orderdate").alias("created_at"),
         (F.lit(6) - F.substring("o_orderpriority", 1, 1).cast("int")).cast("bigint").alias("priority"),
     )
     ended = F.col("status").isin("COMPLETED", "FAILED")
@@ -79,7 +84,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
             "stored_size": F.floor(F.col("size") / 3).cast("bigint"),
             "progress": F.when(F.col("status") == "COMPLETED", 100).otherwise(F.col("job_id") % 100).cast("bigint"),
             "estimated_duration": F.when(F.col("priority") > 1, F.col("duration")),
-            "end_time": F.when(ended, F.timestamp_seconds(F.unix_timestamp("created_at") + F.col("duration"))),
+            "end_time": F.when(ended, F.col("created_at") + F.make_interval(secs=F.col("duration"))),
         }
     )
 
@@ -112,7 +117,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("path"),
         cents("l_extendedprice").alias("size"),
         F.col("l_quantity").cast("bigint").cast("string").alias("checksum"),
-        F.col("l_shipdate").cast("timestamp").alias("created_at"),
+        F.col("l_shipdate").alias("created_at"),
         F.when(F.col("l_linestatus") == "O", "INCREMENTAL").otherwise("FULL").alias("backup_type"),
         (F.col("l_returnflag") == "R").alias("is_deleted"),
     )
@@ -128,8 +133,8 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("device_id"),
         F.col("l_suppkey").alias("node_id"),
         F.col("l_quantity").cast("bigint").alias("version"),
-        F.col("l_shipdate").cast("timestamp").alias("timestamp"),
-        F.col("l_shipdate").cast("timestamp").alias("backup_time"),
+        F.col("l_shipdate").alias("timestamp"),
+        F.col("l_shipdate").alias("backup_time"),
         F.col("l_partkey").alias("chunk_id"),
         cents("l_extendedprice").alias("size"),
         (F.col("l_returnflag") == "R").alias("is_deleted"),
@@ -140,7 +145,7 @@ def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("chunk_id"),
         F.col("p_size").cast("bigint").alias("size"),
-        F.timestamp_seconds(F.lit(788918400) + (F.col("p_partkey") % 3000) * 86400).alias("created_at"),
+        (F.lit("1995-01-01").cast("timestamp_ntz") + F.make_interval(days=(F.col("p_partkey") % 3000).cast("int"))).alias("created_at"),
     )
 
 
@@ -158,7 +163,7 @@ def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("device_id"),
         F.col("c_nationkey").cast("bigint").alias("tenant_id"),
         (F.col("c_acctbal") > 0).alias("is_online"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("c_custkey") * 60).alias("last_sync"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(mins=F.col("c_custkey").cast("int"))).alias("last_sync"),
     )
 
 
@@ -169,7 +174,7 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("device_id"),
         F.lit("AES_256_GCM").alias("algorithm"),
         F.lit("SCRYPT").alias("key_derivation"),
-        F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        F.col("o_orderdate").alias("created_at"),
         F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("created_ms"),
         (F.col("o_orderstatus") == "O").alias("is_active"),
     )
@@ -208,7 +213,7 @@ def block_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(
         (F.col("l_suppkey") % 10).alias("device_id"),
         F.col("l_partkey").alias("block_number"),
-        F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.col("l_shipdate").alias("ts"),
     )
 
 
