@@ -12,6 +12,7 @@ from backuplake.jobs.chunking import reassemble
 from backuplake.operators.aggregates import synthetic_ratios
 from backuplake.operators.joins import file_chunks, restore_plan
 from backuplake.operators.windows import latest_state
+from backuplake.session import pin
 
 
 def synthetic_manifest(base: DataFrame, incrementals: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -22,12 +23,13 @@ def synthetic_manifest(base: DataFrame, incrementals: DataFrame, by: Sequence[st
 def synthetic_full(
     base: DataFrame, incrementals: DataFrame, chunks: DataFrame, by: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """Manifest and ratios of a synthetic full backup.
+    """Manifest and ratios of a synthetic full backup. The manifest is the product and is
+    written once; the ratios are taken from what was written.
 
     Inputs: path, chunks (array of ids), size, is_deleted and the `by` columns.
     `chunks`: chunk_id, chunk_size, packed_size.
     """
-    manifest = synthetic_manifest(base, incrementals, by)
+    manifest = pin(synthetic_manifest(base, incrementals, by), "manifest")
     stored = file_chunks(manifest, chunks).select(
         F.col("chunk_id").alias("digest"), F.col("chunk_size").alias("size"), "packed_size"
     )

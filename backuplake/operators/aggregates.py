@@ -177,11 +177,24 @@ def dedup_stats(refs: DataFrame, digest: str = "digest", size: str = "size") ->
 def synthetic_ratios(stored: DataFrame, inputs: DataFrame) -> DataFrame:
     """Ratios of a synthetic backup: `stored` has size, packed_size, digest per chunk of the
     result, `inputs` has size per file of base and incrementals."""
-    dedup = dedup_stats(stored).select(F.col("logical_bytes"), F.col("unique_bytes"), "dedup_ratio")
-    packed = stored.agg(F.try_divide(F.sum("size").cast("double"), F.sum("packed_size")).alias("compression_ratio"))
+    unique = stored.groupBy("digest").agg(
+        F.max("size").alias("one"), F.sum("size").alias("all"), F.sum("packed_size").alias("packed")
+    )
+    totals = unique.agg(
+        F.sum("all").alias("logical_bytes"), F.sum("one").alias("unique_bytes"), F.sum("packed").alias("_packed")
+    )
     source = inputs.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("input_bytes"))
-    row = dedup.join(F.broadcast(packed), F.lit(True), "left").join(F.broadcast(source), F.lit(True), "left")
-    return row.withColumn("space_saved", F.col("input_bytes") - F.col("unique_bytes"))
+    logical = F.col("logical_bytes").cast("double")
+    # One row each.
+    row = totals.join(F.broadcast(source), F.lit(True), "left")
+    return row.select(
+        "logical_bytes",
+        "unique_bytes",
+        F.try_divide(logical, F.col("unique_bytes")).alias("dedup_ratio"),
+        F.try_divide(logical, F.col("_packed")).alias("compression_ratio"),
+        "input_bytes",
+        (F.col("input_bytes") - F.col("unique_bytes")).alias("space_saved"),
+    )
 
 
 def series_features(df: DataFrame, keys: Sequence[str], size: str, duration: str) -> DataFrame:

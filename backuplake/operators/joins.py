@@ -113,16 +113,16 @@ def lineage(snapshots: DataFrame) -> DataFrame:
 
 
 def ring_points(nodes: DataFrame, node: str = "node_id", points: int = 3) -> DataFrame:
-    """Ring positions `"{id}:{i}"`; on equal hashes the node added last wins."""
+    """Ring positions `"{id}:{i}"`; on equal hashes the node added last wins.
+
+    The ring is written out, as placement reads it several times; it has three rows per node.
+    """
     placed = nodes.select(
         F.col(node).alias("node_id"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_i")
     )
     label = F.concat(F.col("node_id").cast("string"), F.lit(":"), F.col("_i").cast("string"))
-    return (
-        placed.select("node_id", features.java_hash(label).alias("ring_hash"))
-        .groupBy("ring_hash")
-        .agg(F.max("node_id").alias("node_id"))
-    )
+    hashes = placed.select("node_id", features.java_hash(label).alias("ring_hash"))
+    return pin(hashes.groupBy("ring_hash").agg(F.max("node_id").alias("node_id")), "ring")
 
 
 def _followers(ring: DataFrame, reach: int, start: int) -> DataFrame:
@@ -161,7 +161,7 @@ def replica_ranges(ring: DataFrame, count: int, points: int = 3) -> DataFrame:
     )
     both = ranges.unionByName(wrap).filter("lo <= hi")
     buckets = F.sequence(F.shiftright("lo", shift), F.shiftright("hi", shift))
-    return both.withColumn("bucket", F.explode(buckets))
+    return pin(both.withColumn("bucket", F.explode(buckets)).coalesce(1), "ring-ranges")
 
 
 def replicas(keys: DataFrame, key: str, ring: DataFrame, count: int = 3, points: int = 3) -> DataFrame:
