@@ -18,7 +18,7 @@ from backuplake.streaming import stateful
 from backuplake.streaming.run import run_to_end
 
 
-BATCH_BYTES = str(8 << 30)
+BATCH_BYTES = str(2 << 30)
 
 
 def _stream(spark, d, name):

@@ -67,9 +67,14 @@ def live_updates(log: DataFrame, as_of) -> DataFrame:
     return log.filter(F.col("expires_at") > as_of)
 
 
-def write_manifest(manifest: DataFrame, path: str, mode: str = "append") -> None:
-    """Manifest rows, one folder per backup."""
-    manifest.write.mode(mode).partitionBy("backup_id").parquet(path)
+def write_manifest(manifest: DataFrame, path: str, mode: str = "append", writers: int = 16) -> None:
+    """Manifest rows, one folder per backup.
+
+    A backup goes to at most `writers` tasks, picked by path: few files for small backups, and
+    no single task for a backup that holds most of the rows.
+    """
+    salt = F.pmod(F.xxhash64("path"), F.lit(writers))
+    manifest.repartition("backup_id", salt).write.mode(mode).partitionBy("backup_id").parquet(path)
 
 
 def write_keys(keys: DataFrame, path: str) -> None:
