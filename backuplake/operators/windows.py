@@ -320,8 +320,11 @@ def _block_starts(blocks: DataFrame, keys: list[str], order: list[str]) -> dict:
             head["rest"] = admit(pdf["amount"].tolist(), int(pdf["_start"].iloc[0]))[2]
             return head
 
+        # A block is one file, so the scan skips all others.
+        here = F.col(BLOCK).isin(sorted({block for _at, block, _rest in stops.values()}))
         ends = (
-            rows.join(F.broadcast(wanted), [*keys, BLOCK])
+            blocks.filter(here)
+            .join(F.broadcast(wanted), [*keys, BLOCK])
             .groupBy(*keys, BLOCK)
             .applyInPandas(end, f"{fields}, rest bigint")
             .collect()

@@ -10,6 +10,7 @@ from backuplake.jobs import chunking, cleanup, codecs, crypto, dedup, erasure, p
 from backuplake.operators import joins
 from backuplake.plans.joined import FAILOVER_SQL, _REPLICAS
 from backuplake.plans.registry import query
+from backuplake.session import spread
 from backuplake.sources import bindings as b
 
 
@@ -182,7 +183,7 @@ def job_10(spark, d):
 def job_11(spark, d):
     """Snapshot paths sealed with the device's key and opened again."""
     keys = b.keys(spark, d).withColumn("secret", F.unhex(F.sha2(F.concat(F.lit("secret-"), "key_id"), 256)))
-    rows = b.snapshots(spark, d).select("snapshot_id", "device_id", F.encode("path", "UTF-8").alias("data"))
+    rows = spread(b.snapshots(spark, d).select("snapshot_id", "device_id", F.encode("path", "UTF-8").alias("data")))
     iv = F.substring(F.unhex(F.sha2("snapshot_id", 256)), 1, 12)
     sealed = crypto.encrypt(rows, keys, iv)
     opened = crypto.decrypt(sealed.drop("status"), keys)
