@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,24 @@ def build_session(app: str = "backuplake", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors' Python workers, once per application.
+
+    Workers started from another folder cannot import it otherwise. The driver's file server hands
+    the archive out, so no shared folder is needed.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_backuplake_shipped", False):
+        return
+    top = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="backuplake-ship-")) / "backuplake.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(top.rglob("*.py")):
+            z.write(path, path.relative_to(top.parent))
+    context.addPyFile(str(archive))
+    context._backuplake_shipped = True
+
+
 def shared_root(spark: SparkSession) -> str:
     """Root of the folder every executor can reach.
 
