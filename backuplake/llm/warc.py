@@ -124,7 +124,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         F.nullif(field("WARC-Target-URI"), F.lit("")).alias("url"),
         field("WARC-Type").alias("record_type"),
         number("WARC-Refers-To").cast("bigint").alias("refers_to"),
-        field("WARC-Payload-Digest").alias("stated_digest"),
+        F.regexp_extract("headers", r"(?m)^WARC-Payload-Digest: sha1:(\w*)", 1).alias("stated_digest"),
         "payload_bytes",
         "payload_digest",
         "payload",

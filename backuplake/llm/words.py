@@ -24,6 +24,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def steps(k: int) -> np.uint64:
+    """k steps, modulo 2**64."""
+    return np.uint64(k * int(STEP) % (1 << 64))
+
+
 class Words:
     """Lower-cased runs of letters, digits and underscores, as digests that are the same everywhere."""
 
@@ -61,7 +66,7 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     if n == 0:
         return hashes
     size = min(size, n)
-    out = np.full(n - size + 1, STEP * np.uint64(size), np.uint64)
+    out = np.full(n - size + 1, size, np.uint64)
     for i in range(size):
         out = mixed(out ^ hashes[i : n - size + 1 + i]) + STEP
     return out
