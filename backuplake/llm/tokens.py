@@ -22,7 +22,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units remembered per worker; the table starts again when it is full.
-UNITS = 1_000_000
+UNITS = 400_000
 
 #: Fixed value: the pre-tokenizer pattern of byte-level BPE files that set `use_regex`.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

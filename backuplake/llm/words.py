@@ -12,7 +12,7 @@ import xxhash
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Runs between white space remembered per worker; the table starts again when it is full.
-KNOWN = 500_000
+KNOWN = 150_000
 
 _WORD = re.compile(r"\w+")
 
