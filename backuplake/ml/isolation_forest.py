@@ -102,12 +102,10 @@ def fit(
     """
     names = list(names)
     spark = df.sparkSession
-    order = F.xxhash64(F.lit(seed), F.col(key))
+    order = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40))
     wanted, rows = trees * sample, df.count()
-    drawn = df
-    if rows > 8 * wanted:
-        # Four times the wanted rows by digest, so that no task sorts more than its share.
-        drawn = df.filter(F.pmod(order, F.lit(1 << 40)) < int((1 << 40) * 4 * wanted / rows))
+    # Four times the wanted rows by digest, or all there are, so that no task sorts more than its share.
+    drawn = df.filter(order < min(1 << 40, (1 << 42) * wanted // max(1, rows)))
     # Proven bound: trees x sample rows.
     pool = (
         drawn.select(order.alias("_o"), key, *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names])

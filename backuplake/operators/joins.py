@@ -13,7 +13,6 @@ from backuplake.session import pin
 
 DEFAULT_QUOTA = 1 << 30
 RING_BUCKET_BITS = 12
-MAX_PEERS = 10_000
 
 
 def file_chunks(files: DataFrame, chunks: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
@@ -181,17 +180,6 @@ def failover_nodes(ring: DataFrame, points: int = 3) -> DataFrame:
     return follow.select("node_id", F.get(others, F.lit(0)).alias("next_node_id"))
 
 
-def fan_out(updates: DataFrame, peers: DataFrame, source: str = "device_id", max_peers: int = MAX_PEERS) -> DataFrame:
-    """Every update to every other open peer, as the sync service sends it.
-
-    The peers of one coordinator are counted first: beyond `max_peers` use `inbox` per peer.
-    """
-    open_peers = peers.filter("is_open").select(F.col("device_id").alias("peer_id"))
-    if open_peers.limit(max_peers + 1).count() > max_peers:
-        raise ValueError(f"more than {max_peers} open peers; use inbox() per peer")
-    return updates.join(F.broadcast(open_peers), F.col(source) != F.col("peer_id"), "inner")
-
-
 def inbox(updates: DataFrame, peer, source: str = "device_id") -> DataFrame:
     """The updates one peer receives."""
     return updates.filter(F.col(source) != F.lit(peer)).withColumn("peer_id", F.lit(peer))

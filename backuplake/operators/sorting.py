@@ -59,9 +59,9 @@ def top_metrics(scores: dict[str, Column], count: int = 2) -> Column:
 
 
 def best_by(df: DataFrame, keys: Sequence[str], value: str, tie: Column, largest: bool = True) -> DataFrame:
-    """One row per key: the largest (or smallest) value, the lower `tie` on equality."""
+    """One row per key: the largest (or smallest) value, the lower `tie` on equality; nulls only win alone."""
     rest = F.struct(*[c for c in df.columns if c not in keys])
-    rank = F.struct(-F.col(value) if largest else F.col(value), tie)
+    rank = F.struct(F.col(value).isNull(), -F.col(value) if largest else F.col(value), tie)
     return df.groupBy(*keys).agg(F.min_by(rest, rank).alias("_best")).select(*keys, "_best.*")
 
 

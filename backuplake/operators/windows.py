@@ -33,10 +33,12 @@ def resolve_conflicts(files: DataFrame, device_priority: Sequence, device: str =
     rank = F.coalesce(F.array_position(ranks, F.col(device)) - 1, F.lit(-1))
     newest = -F.unix_micros(F.col("backup_time").cast("timestamp"))
     live = ~F.col("is_deleted")
+    # Settles candidates that are equal in all of these.
+    last = F.xxhash64(*[c for c in files.columns if c != "path"])
     picked = files.groupBy("path").agg(
         F.count_if(live).alias("_live"),
-        F.min_by(F.when(live, rest), F.when(live, F.struct(rank, newest, F.col(device)))).alias("_best"),
-        F.min_by(rest, F.struct(newest, F.col(device))).alias("_own"),
+        F.min_by(F.when(live, rest), F.when(live, F.struct(rank, newest, F.col(device), last))).alias("_best"),
+        F.min_by(rest, F.struct(newest, F.col(device), last)).alias("_own"),
     )
     return picked.select("path", F.when(F.col("_live") > 1, F.col("_best")).otherwise(F.col("_own")).alias("_w")).select(
         "path", "_w.*"
@@ -65,18 +67,14 @@ def optimal_windows(
 ) -> DataFrame:
     """Runs of consecutive recommended hours. `scores`: keys, hour_ts, quality_score.
 
-    A run still open at the end of the horizon is dropped unless `close_trailing`. A key has
+    An hour without a row ends a run. A run still open at the end of the horizon is dropped unless `close_trailing`. A key has
     one row per hour of its horizon, which bounds the window.
     """
     by_hour = Window.partitionBy(*keys).orderBy("hour_ts")
-    marked = scores.withColumns(
-        {
-            "_idx": F.row_number().over(by_hour),
-            "_last": F.lead("hour_ts").over(by_hour).isNull(),
-        }
-    ).filter(F.col("quality_score") > threshold)
+    marked = scores.withColumn("_last", F.lead("hour_ts").over(by_hour).isNull()).filter(F.col("quality_score") > threshold)
+    hour = F.unix_seconds(F.col("hour_ts").cast("timestamp")) / 3600
     runs = (
-        marked.withColumn("_run", F.col("_idx") - F.row_number().over(by_hour))
+        marked.withColumn("_run", hour - F.row_number().over(by_hour))
         .groupBy(*keys, "_run")
         .agg(
             F.min("hour_ts").alias("start_time"),

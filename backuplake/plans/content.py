@@ -10,7 +10,6 @@ from backuplake.jobs import chunking, cleanup, codecs, crypto, dedup, erasure, p
 from backuplake.operators import joins
 from backuplake.plans.joined import FAILOVER_SQL, _REPLICAS
 from backuplake.plans.registry import query
-from backuplake.session import spread
 from backuplake.sources import bindings as b
 
 
@@ -183,7 +182,7 @@ def job_10(spark, d):
 def job_11(spark, d):
     """Snapshot paths sealed with the device's key and opened again."""
     keys = b.keys(spark, d).withColumn("secret", F.unhex(F.sha2(F.concat(F.lit("secret-"), "key_id"), 256)))
-    rows = spread(b.snapshots(spark, d).select("snapshot_id", "device_id", F.encode("path", "UTF-8").alias("data")))
+    rows = b.snapshots(spark, d).select("snapshot_id", "device_id", F.encode("path", "UTF-8").alias("data"))
     iv = F.substring(F.unhex(F.sha2("snapshot_id", 256)), 1, 12)
     sealed = crypto.encrypt(rows, keys, iv)
     opened = crypto.decrypt(sealed.drop("status"), keys)
@@ -216,7 +215,7 @@ _AS_OF = "2001-12-01"
     f"""WITH c AS (SELECT TIMESTAMP '{_AS_OF}' - INTERVAL 30 DAY AS cut),
        kept AS (SELECT v.* FROM versions v, c WHERE NOT (is_deleted AND backup_time < cut)),
        o AS (SELECT i.* FROM chunk_index i, c WHERE created_at < cut AND chunk_id NOT IN (
-             SELECT chunk_id FROM kept WHERE NOT is_deleted AND backup_time > TIMESTAMP '2001-01-01'))
+             SELECT chunk_id FROM kept WHERE NOT is_deleted))
        SELECT 'files' AS what, (SELECT count(*) FROM kept) AS kept, (SELECT count(*) FROM versions) - (SELECT count(*) FROM kept) AS removed
        UNION ALL SELECT 'jobs', count(*) FILTER (NOT x), count(*) FILTER (x) FROM (
          SELECT coalesce(status IN ('COMPLETED', 'FAILED') AND coalesce(end_time, created_at) < cut, FALSE) AS x FROM jobs, c)
@@ -227,8 +226,7 @@ def job_13(spark, d):
     as_of = F.lit(_AS_OF).cast("timestamp_ntz")
     files = cleanup.expired_files(b.versions(spark, d), as_of)
     jobs = cleanup.finished_jobs(b.jobs(spark, d).withColumnRenamed("created_at", "start_time"), as_of)
-    recent = files[0].filter("backup_time > '2001-01-01'")
-    chunks = cleanup.orphaned_chunks(b.chunk_index(spark, d), recent, as_of)
+    chunks = cleanup.orphaned_chunks(b.chunk_index(spark, d), files[0], as_of)
     out = None
     for what, (kept, gone) in {"files": files, "jobs": jobs, "chunks": chunks}.items():
         counts = kept.select(F.lit(1).alias("k"), F.lit(0).alias("r")).unionByName(gone.select(F.lit(0).alias("k"), F.lit(1).alias("r")))

@@ -35,11 +35,11 @@ def jn_01(spark, d):
 @query(
     "jn_02_orphan_chunks",
     """SELECT chunk_id, size FROM chunk_index WHERE chunk_id NOT IN (
-       SELECT chunk_id FROM versions WHERE NOT is_deleted AND backup_time > TIMESTAMP '2001-01-01')""",
+       SELECT chunk_id FROM versions WHERE NOT is_deleted)""",
     "chunk_index versions",
 )
 def jn_02(spark, d):
-    live = b.versions(spark, d).filter(~F.col("is_deleted") & (F.col("backup_time") > "2001-01-01"))
+    live = b.versions(spark, d).filter(~F.col("is_deleted"))
     return joins.orphan_chunks(b.chunk_index(spark, d), live).select("chunk_id", "size")
 
 

@@ -246,7 +246,7 @@ _RUNS = """WITH m AS (SELECT device_id, date_trunc('hour', "timestamp") AS hour_
       CAST(count(*) FILTER (backup_type <> 'error') AS DOUBLE) / count(*) AS q FROM ev GROUP BY ALL),
     i AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY hour_ts) AS n,
       lead(hour_ts) OVER (PARTITION BY device_id ORDER BY hour_ts) IS NULL AS last FROM m),
-    g AS (SELECT *, n - row_number() OVER (PARTITION BY device_id ORDER BY hour_ts) AS run FROM i WHERE q > 0.7),
+    g AS (SELECT *, epoch(hour_ts) / 3600 - row_number() OVER (PARTITION BY device_id ORDER BY hour_ts) AS run FROM i WHERE q > 0.7),
     r AS (SELECT device_id, min(hour_ts) AS start_time, round(avg(q), 9) AS avg_quality FROM g GROUP BY device_id, run
       HAVING count(*) >= 2 AND NOT bool_or(last))"""
 

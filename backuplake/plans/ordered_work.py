@@ -54,7 +54,7 @@ def win_03(spark, d):
     "win_04_optimal_windows",
     """WITH m AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY hour_ts) AS i,
           lead(hour_ts) OVER (PARTITION BY tenant_id ORDER BY hour_ts) IS NULL AS last FROM scores),
-       g AS (SELECT *, i - row_number() OVER (PARTITION BY tenant_id ORDER BY hour_ts) AS run FROM m WHERE quality_score > 0.7)
+       g AS (SELECT *, epoch(hour_ts) / 3600 - row_number() OVER (PARTITION BY tenant_id ORDER BY hour_ts) AS run FROM m WHERE quality_score > 0.7)
        SELECT tenant_id, min(hour_ts) AS start_time, max(hour_ts) AS end_time, count(*) AS duration_hours,
        round(avg(quality_score), 9) AS avg_quality FROM g GROUP BY tenant_id, run HAVING count(*) >= 2 AND NOT bool_or(last)""",
     "ev scores",

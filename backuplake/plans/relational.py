@@ -52,9 +52,7 @@ def src_01(spark, d):
     """The streaming source read to its end, counted per type."""
     from backuplake.streaming.run import run_to_end
 
-    schema = b.read(spark, d, "events").schema
-    stream = readers.stream(spark, "parquet", schema, d, pathGlobFilter="events.parquet")
-    out = run_to_end(b.event_columns(stream), "src01")
+    out = run_to_end(b.event_columns(b.stream(spark, d, "events")), "src01")
     return out.groupBy("backup_type").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total_size"))
 
 

@@ -23,8 +23,7 @@ BATCH_BYTES = str(2 << 30)
 
 def _stream(spark, d, name):
     """A given table as a stream, in batches a micro-batch can hold."""
-    schema = b.read(spark, d, name).schema
-    return readers.stream(spark, "parquet", schema, d, pathGlobFilter=f"{name}.parquet", maxBytesPerTrigger=BATCH_BYTES)
+    return b.stream(spark, d, name, maxBytesPerTrigger=BATCH_BYTES)
 
 
 def _events(spark, d):

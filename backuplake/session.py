@@ -82,14 +82,3 @@ def pin(df: DataFrame, purpose: str = "pin") -> DataFrame:
     path = shared_path(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table scan spread over all cores when it has too few splits for CPU-heavy work.
-
-    Meant for plain scans: asking a plan with shuffles for its partitions would run them.
-    A table of many files is left as it is: its splits already keep the cluster busy, and a
-    shuffle of payloads would cost more than it brings.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from backuplake.functions import features
-from backuplake.session import spread
+from backuplake.sources import readers
 
 CHUNK_BYTES = 4096
 
@@ -19,6 +19,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str, **options: str) -> DataFrame:
+    """A table as a stream: of the files in its folder, or of the one file it is."""
+    schema, path = read(spark, sf_dir, name).schema, spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return readers.stream(spark, "parquet", schema, f"{sf_dir}/{name}.parquet", **options)
+    return readers.stream(spark, "parquet", schema, sf_dir, pathGlobFilter=f"{name}.parquet", **options)
+
+
 def cents(name: str) -> Column:
     """Money and measures as whole numbers, so that sums do not depend on their order."""
     return F.round(F.col(name) * 100).cast("bigint")
@@ -182,7 +190,7 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files with their bytes."""
-    return spread(read(spark, sf_dir, "documents")).select(
+    return read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("file_id"),
         F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
         "lang",
@@ -245,7 +253,7 @@ def hourly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backup_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backup runs with their load and duration, one per line item."""
     count, size = F.col("l_quantity") * 20, F.col("l_extendedprice") * 100
-    return spread(read(spark, sf_dir, "lineitem")).select(
+    return read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("request_id"),
         F.col("l_suppkey").alias("device_id"),
         count.alias("file_count"),

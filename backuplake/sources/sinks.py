@@ -67,14 +67,13 @@ def live_updates(log: DataFrame, as_of) -> DataFrame:
     return log.filter(F.col("expires_at") > as_of)
 
 
-def write_manifest(manifest: DataFrame, path: str, mode: str = "append", writers: int = 16) -> None:
-    """Manifest rows, one folder per backup.
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """Manifest rows, one folder per backup; a replay replaces the folders of its backups.
 
-    A backup goes to at most `writers` tasks, picked by path: few files for small backups, and
-    no single task for a backup that holds most of the rows.
+    Rebalanced by backup: few files for small backups, and large ones are split by size.
     """
-    salt = F.pmod(F.xxhash64("path"), F.lit(writers))
-    manifest.repartition("backup_id", salt).write.mode(mode).partitionBy("backup_id").parquet(path)
+    rows = manifest.hint("rebalance", "backup_id")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("backup_id").parquet(path)
 
 
 def write_keys(keys: DataFrame, path: str) -> None:

@@ -50,9 +50,12 @@ def current_state(spark: SparkSession, path: str, keys: Sequence[str], by: Seque
 
 
 def compact_state(spark: SparkSession, path: str, keys: Sequence[str], by: Sequence[str]) -> str:
-    """Folds all deltas into a first delta under a new path, which is returned."""
+    """Folds all deltas into one under a new path, which is returned.
+
+    Its number is below that of any batch, so a new stream on that path replaces nothing.
+    """
     target = shared_path(spark, "state")
-    current_state(spark, path, keys, by).write.mode("errorifexists").parquet(f"{target}/batch_id=0")
+    current_state(spark, path, keys, by).write.mode("errorifexists").parquet(f"{target}/batch_id=-1")
     return target
 
 

@@ -150,15 +150,6 @@ def test_replicas_match_a_walk_round_the_ring(spark, count):
         assert follow[n] == (others[0] if others else None)
 
 
-def test_fan_out(spark, rows):
-    updates = spark.createDataFrame([(1, "a"), (2, "x")], "id long, device_id string")
-    peers = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "device_id string, is_open boolean")
-    assert rows(joins.fan_out(updates, peers), "id", "peer_id") == [(1, "b"), (2, "a"), (2, "b")]
-    assert rows(joins.recipient_counts(updates, peers), "id", "recipients") == [(1, 1), (2, 2)]
-    with pytest.raises(ValueError):
-        joins.fan_out(updates, peers, max_peers=1)
-
-
 def test_quota_check_default_and_border(spark, rows):
     req = spark.createDataFrame([(1, "t", "S", 10), (2, "t", "S", 11), (3, "u", "S", 1 << 30), (4, "u", "S", (1 << 30) + 1)], "id long, tenant_id string, resource string, amount long")
     usage = spark.createDataFrame([("t", "S", 90)], "tenant_id string, resource string, used long")
@@ -327,3 +318,9 @@ def test_key_registry_never_holds_secrets(spark, tmp_path):
     text_out = "".join(p.read_text() for p in (tmp_path / "keys").glob("*.json"))
     assert "hidden" not in text_out
     assert readers.key_registry(spark, str(tmp_path / "keys")).first().keyId == "k"
+
+
+def test_recipient_counts(spark, rows):
+    updates = spark.createDataFrame([(1, "a"), (2, "x")], "id long, device_id string")
+    peers = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "device_id string, is_open boolean")
+    assert rows(joins.recipient_counts(updates, peers), "id", "recipients") == [(1, 1), (2, 2)]
