@@ -137,11 +137,23 @@ class Model:
         return names, scores
 
 
+def drawn(rows: DataFrame, group: str, sample: int) -> DataFrame:
+    """At most `sample` rows for each value of `group`, those with the smallest digests of doc_id.
+
+    About four times as many are cut out by their digests first, so that no task ranks a whole group.
+    """
+    digest = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    # One row for each value of the group.
+    counts = rows.groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).alias("__rows"))
+    near = rows.join(F.broadcast(counts), F.col(group) == F.col("__group")).filter(digest < F.lit(4.0 * sample * (1 << 40)) / F.col("__rows"))
+    order = Window.partitionBy(group).orderBy(digest, "doc_id")
+    return near.withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= sample).drop("__group", "__rows", "__nth")
+
+
 def fit(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> Model:
     """The model of the rows where `learnable` holds and lang is not null."""
     narrow = docs.filter(learnable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = pin(narrow.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample).select("doc_id", "lang"), "language-sample")
+    picked = pin(drawn(narrow, "lang", sample), "language-sample")
     # At most `sample` rows for each language.
     rows = docs.select("doc_id", "lang", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")
 

@@ -20,9 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from backuplake.llm.language import drawn
 from backuplake.session import pin
 
 BUCKETS = 1 << 17
@@ -136,8 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAM
     """The model of labelled rows where `learnable` (a condition on doc_id) holds."""
     marked = labels.filter(learnable & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     marked = marked.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = pin(marked.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample).drop("_n"), "quality-sample")
+    picked = pin(drawn(marked, "quality", sample), "quality-sample")
     # At most 2 * sample rows.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("places", pa.binary())])
