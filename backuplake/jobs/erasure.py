@@ -86,12 +86,12 @@ def decode(shards: dict[int, bytes], k: int, m: int, length: int) -> bytes | Non
 
 
 def encode_chunks(chunks: DataFrame, k: int, m: int, key: str = "chunk_id") -> DataFrame:
-    """One row per shard with its digest and the chunk's length."""
+    """One row per shard with its digest and the chunk's length. A chunk without data has no shards."""
 
     @F.pandas_udf("array<binary>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda value: encode(value, k, m))
+            yield batch.map(lambda value: None if value is None else encode(value, k, m))
 
     rows = chunks.select(
         key, F.octet_length("data").alias("original_length"), F.posexplode(run("data")).alias("index", "data")

@@ -1,10 +1,13 @@
-"""Joins. Hot keys on the row side are left to adaptive skew splitting, which works because the
-lookup side is unique per key in every join here."""
+"""Joins. The lookup side is unique per key in every join here, so adaptive skew splitting can cut a hot
+key of the row side. It does so only where exchange and sort are next to each other: lookups that must
+first be made unique are written out (`unique_keys`), which takes that step out of the join's stage."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +15,13 @@ from backuplake.functions import features
 from backuplake.session import pin
 
 DEFAULT_QUOTA = 1 << 30
-RING_BUCKET_BITS = 12
+#: Buckets of a ring; their bounds travel with the lookup.
+RING_CUTS = 4096
+
+
+def unique_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """Distinct keys, written out for a join that adaptive execution can split."""
+    return pin(df.select(*keys).distinct(), "unique-keys")
 
 
 def file_chunks(files: DataFrame, chunks: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
@@ -23,7 +32,7 @@ def file_chunks(files: DataFrame, chunks: DataFrame, keys: Sequence[str] = ("pat
 
 def orphan_chunks(chunks: DataFrame, references: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Chunks nothing refers to. References shrink to distinct ids before they are shuffled."""
-    return chunks.join(references.select(key).distinct(), key, "left_anti")
+    return chunks.join(unique_keys(references, key), key, "left_anti")
 
 
 def quota_check(requests: DataFrame, usage: DataFrame, quotas: DataFrame, default_limit: int = DEFAULT_QUOTA) -> DataFrame:
@@ -36,7 +45,7 @@ def quota_check(requests: DataFrame, usage: DataFrame, quotas: DataFrame, defaul
 
 def duplicate_flags(incoming: DataFrame, index: DataFrame, key: str = "digest") -> DataFrame:
     """Each incoming chunk with `is_duplicate`. `index` may list a digest many times."""
-    known = index.select(key).distinct().withColumn("_known", F.lit(True))
+    known = unique_keys(index, key).withColumn("_known", F.lit(True))
     return (
         incoming.join(known, key, "left")
         .withColumn("is_duplicate", F.coalesce("_known", F.lit(False)))
@@ -45,11 +54,11 @@ def duplicate_flags(incoming: DataFrame, index: DataFrame, key: str = "digest")
 
 
 def new_chunks(incoming: DataFrame, index: DataFrame, key: str = "digest") -> DataFrame:
-    return incoming.join(index.select(key).distinct(), key, "left_anti")
+    return incoming.join(unique_keys(index, key), key, "left_anti")
 
 
 def known_chunks(incoming: DataFrame, index: DataFrame, key: str = "digest") -> DataFrame:
-    return incoming.join(index.select(key).distinct(), key, "left_semi")
+    return incoming.join(unique_keys(index, key), key, "left_semi")
 
 
 def restore_plan(requests: DataFrame, manifest: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -140,10 +149,31 @@ def _followers(ring: DataFrame, reach: int, start: int) -> DataFrame:
     return out.filter(F.col("ring_hash") < (1 << 31))
 
 
-def replica_ranges(ring: DataFrame, count: int, points: int = 3) -> DataFrame:
-    """Hash ranges (lo, hi] with their replica nodes, cut at bucket borders so a key finds its
-    range by an equi-join on the bucket instead of by comparing it with the whole ring."""
-    shift = 32 - RING_BUCKET_BITS
+def ring_cuts(ring: DataFrame, most: int = RING_CUTS) -> list[int]:
+    """At most `most` ring points, equally many points apart; they bound the buckets of the ring."""
+    every = -(-ring.count() // most)
+    numbered = ring.select("ring_hash", F.row_number().over(Window.orderBy("ring_hash")).alias("_n"))
+    return sorted(r.ring_hash for r in numbered.filter(F.col("_n") % max(every, 1) == 0).collect())
+
+
+def _bucket(cuts: Sequence[int]):
+    """Expression of the bucket a hash lies in: the number of cuts below it."""
+    bounds = np.array(cuts, dtype="int64")
+
+    @F.pandas_udf("int")
+    def place(hashes: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, hashes.to_numpy("int64"), side="left").astype("int32"))
+
+    return place
+
+
+def replica_ranges(ring: DataFrame, count: int, cuts: Sequence[int], points: int = 3) -> DataFrame:
+    """Hash ranges (lo, hi] with their replica nodes and their bucket, so a key finds its range by an
+    equi-join instead of by comparing it with the whole ring.
+
+    Cuts are ring points, so a range never crosses one, and all buckets hold equally many ranges
+    however close together the hashes lie.
+    """
     lowest, highest = -(1 << 31), (1 << 31) - 1
     stops = _followers(ring, points * count, 0).select("ring_hash", F.slice("_next", 1, count).alias("nodes"))
     by_hash = Window.orderBy("ring_hash")
@@ -159,17 +189,18 @@ def replica_ranges(ring: DataFrame, count: int, points: int = 3) -> DataFrame:
         F.min_by("nodes", "ring_hash").alias("nodes"),
     )
     both = ranges.unionByName(wrap).filter("lo <= hi")
-    buckets = F.sequence(F.shiftright("lo", shift), F.shiftright("hi", shift))
-    return pin(both.withColumn("bucket", F.explode(buckets)).coalesce(1), "ring-ranges")
+    return pin(both.withColumn("bucket", _bucket(cuts)("hi")).coalesce(1), "ring-ranges")
 
 
 def replicas(keys: DataFrame, key: str, ring: DataFrame, count: int = 3, points: int = 3) -> DataFrame:
-    """The first `count` distinct nodes clockwise from the key's hash, one row per replica."""
-    ranges = replica_ranges(ring, count, points)
-    hashed = keys.withColumn("key_hash", features.java_hash(F.col(key))).withColumn(
-        "bucket", F.shiftright("key_hash", 32 - RING_BUCKET_BITS)
-    )
-    found = hashed.join(ranges, "bucket", "inner").filter(F.col("key_hash").between(F.col("lo"), F.col("hi")))
+    """The first `count` distinct nodes clockwise from the key's hash, one row per replica.
+
+    A null key has no replica."""
+    cuts = ring_cuts(ring)
+    ranges = replica_ranges(ring, count, cuts, points)
+    hashed = keys.filter(F.col(key).isNotNull()).withColumn("key_hash", features.java_hash(F.col(key)))
+    placed = hashed.withColumn("bucket", _bucket(cuts)("key_hash"))
+    found = placed.join(ranges, "bucket", "inner").filter(F.col("key_hash").between(F.col("lo"), F.col("hi")))
     return found.select(*keys.columns, "key_hash", F.posexplode("nodes").alias("replica", "node_id"))
 
 

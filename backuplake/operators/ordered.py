@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from backuplake.session import pin
 
 BLOCK = "_block"
+#: Rows of a block, about; work on one block is bounded by it.
+BLOCK_ROWS = 1_000_000
 
 
 def sorted_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
@@ -23,8 +25,11 @@ def sorted_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], part
 
     The layout is written out because range boundaries are sampled: a second run of the same
     exchange could cut elsewhere, and block numbers must mean the same in every job that uses them.
+    The number of blocks follows the number of rows, so a block stays at about `BLOCK_ROWS` at any size.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(least, -(-df.count() // BLOCK_ROWS))
     cols = [*keys, *order]
     return pin(
         df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).withColumn(BLOCK, F.spark_partition_id())

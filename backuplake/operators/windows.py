@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from backuplake.operators.ordered import BLOCK, running_totals, sorted_blocks
 
@@ -119,8 +121,11 @@ def retained(
 ) -> DataFrame:
     """Snapshots within their age limit and among the newest versions of their path.
 
-    The rank filter cuts each map task to `max_versions` rows per path before the shuffle.
+    Rows older than the longest age limit rank behind all others, so they are cut at the scan. The
+    rank filter cuts each map task to `max_versions` rows per path before the shuffle.
     """
+    oldest = as_of - F.make_interval(days=F.lit(max(full_days, incremental_days)))
+    snapshots = snapshots.filter(F.col("created_at") >= oldest)
     days = F.when(F.col("backup_type") == "FULL", full_days).otherwise(incremental_days)
     order = Window.partitionBy(*keys).orderBy(F.col("created_at").desc(), F.col(tie).desc())
     ranked = snapshots.withColumn("version_rank", F.row_number().over(order)).filter(
@@ -160,41 +165,62 @@ def dirty_triggers(writes: DataFrame, threshold: int = 1000, parts: int | None =
 # --- quota -----------------------------------------------------------------------------------
 
 
-def admit(amounts: Sequence[int], remaining: int) -> tuple[list[bool], list[int], int]:
-    """Serial admission: each accepted amount uses up the remainder, rejected ones do not."""
-    taken, left = [], []
-    for amount in amounts:
-        ok = amount <= remaining
-        if ok:
-            remaining -= amount
-        taken.append(ok)
-        left.append(remaining)
-    return taken, left, remaining
+def admit(amounts: np.ndarray, remaining: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Serial admission: each accepted amount uses up the remainder, rejected ones do not.
 
-
-def _profile(amounts: list[int]) -> tuple[list[int], list[int | None]]:
-    """What a block does to a remainder of each power-of-two size.
+    Returns which amounts are admitted, the remainder after each, and the last remainder. While a
+    remainder lies between two powers of two, all amounts below the lower one fit; one that is not
+    below it fits at most once. So a run is cut only where the remainder changes its size.
+    """
+    values = np.asarray(amounts, dtype="int64")
+    taken, at, rest = np.zeros(len(values), dtype=bool), 0, int(remaining)
+    while at < len(values):
+        if rest <= 0:
+            taken[at:] = values[at:] <= rest
+            break
+        border = 1 << (rest.bit_length() - 1)
+        # So many amounts below the border cannot exceed 64 bits in sum.
+        part = values[at : at + max(1, (1 << 62) // border)]
+        small = part < border
+        used = np.cumsum(np.where(small, part, 0))
+        stops = np.flatnonzero(np.where(small, rest - used < border, part <= rest - used))
+        end = int(stops[0]) if len(stops) else len(part) - 1
+        taken[at : at + end + 1] = small[: end + 1]
+        taken[at + end] |= len(stops) > 0
+        rest -= int(used[end]) + (int(part[end]) if len(stops) and not small[end] else 0)
+        at += end + 1
+    left = int(remaining) - np.cumsum(np.where(taken, values, 0))
+    return taken, left, rest
+
+
+def _profile(amounts: np.ndarray, cap: int) -> tuple[list[int], list[int | None]]:
+    """What a block does to a remainder of each power-of-two size that a limit of `cap` allows.
 
     For a remainder in [2^k, 2^(k+1)): `small[k]` is the sum of amounts below 2^k, all admitted
     while the remainder keeps its size; `gate[k]` is the least remainder at block start that
     would let one of the larger amounts in.
     """
     values = np.asarray(amounts, dtype="int64")
-    top = int(values.max()).bit_length() + 1 if len(values) else 1
+    if not len(values):
+        return [0], [None]
+    if float(values.astype("float64").sum()) > 2.0**62:
+        values = values.astype(object)
+    most = (1 << 63) - 1
+    top = max(0, min(int(values.max()).bit_length() + 1, int(cap).bit_length() - 1))
     small, gate = [], []
     for k in range(top + 1):
         below = values < (1 << k)
         before = np.cumsum(np.where(below, values, 0))
-        needed = (values + before)[~below]
-        small.append(int(before[-1]) if len(values) else 0)
-        gate.append(int(needed.min()) if len(needed) else None)
+        needed = (values + before)[~below.astype(bool)]
+        small.append(min(most, int(before[-1])))
+        gate.append(min(most, int(needed.min())) if len(needed) else None)
     return small, gate
 
 
 def _passes(small: list[int], gate: list[int | None], remaining: int) -> int | None:
     """Remainder after the block, or None when the profile cannot tell."""
-    if remaining == 0:
-        return 0
+    if remaining <= 0:
+        return remaining
     size = remaining.bit_length() - 1
     k = min(size, len(small) - 1)
     if gate[k] is not None and gate[k] <= remaining:
@@ -206,6 +232,22 @@ def _passes(small: list[int], gate: list[int | None], remaining: int) -> int | N
     return None
 
 
+_KEY, _START, _USED = "_quota_key", "_quota_start", "_quota_used"
+
+
+def _ordered(table: pa.Table, by: Sequence[str]) -> pa.Table:
+    """Rows in Spark's order: ascending, nulls first."""
+    keys = [(c, "ascending") for c in by]
+    return table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start"))
+
+
+def _amounts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Amounts, and which rows have one."""
+    column = table.column("amount")
+    known = pc.is_valid(column).to_numpy(zero_copy_only=False).astype(bool)
+    return pc.fill_null(column, 0).cast(pa.int64()).to_numpy(), known
+
+
 def consume_quota(
     requests: DataFrame,
     limits: DataFrame | None = None,
@@ -214,6 +256,7 @@ def consume_quota(
     default_limit: int = 1 << 30,
     warn_share: float = 0.8,
     parts: int | None = None,
+    used: DataFrame | None = None,
 ) -> DataFrame:
     """Quota consumption in arrival order: rejected requests consume nothing.
 
@@ -221,78 +264,102 @@ def consume_quota(
     folded there. For keys that span blocks, each block is first profiled in parallel; the
     driver walks those profiles (at most two rows per block) and asks for a fold only of blocks
     where the remainder changes its power-of-two size, which happens at most once per bit.
-    Amounts are whole and not negative.
+    Amounts are whole and not negative; a request without an amount is not admitted. A null in the
+    keys is a tenant or resource of its own. Other columns pass through Arrow unchanged.
+    `limits` and `used` (what each key has used before, if anything) have one row per key.
     """
-    keys, order = list(keys), list(order)
-    limit = F.lit(default_limit).cast("bigint")
-    if limits is not None:
-        requests = requests.join(limits, keys, "left").withColumn("quota_limit", F.coalesce("quota_limit", limit))
-    else:
-        requests = requests.withColumn("quota_limit", limit)
-    blocks = sorted_blocks(requests, keys, order, parts)
-    starts = _block_starts(blocks, keys, order)
-    session = blocks.sparkSession
-    types = {f.name: f.dataType for f in blocks.schema.fields}
-    fields = ", ".join(f"`{c}` {types[c].simpleString()}" for c in [*keys, BLOCK])
+
+    def looked_up(rows: DataFrame, table: DataFrame | None, name: str, otherwise: int, to: str) -> DataFrame:
+        fallback = F.lit(otherwise).cast("bigint")
+        if table is None:
+            return rows.withColumn(to, fallback)
+        own = table.select(*[F.col(c).alias(f"_own_{c}") for c in keys], F.col(name).cast("bigint").alias("_own"))
+        same = [rows[c].eqNullSafe(own[f"_own_{c}"]) for c in keys]
+        found = rows.join(own, same, "left").withColumn(to, F.coalesce("_own", fallback))
+        return found.drop("_own", *[f"_own_{c}" for c in keys])
+
+    requests = looked_up(requests, limits, "quota_limit", default_limit, "quota_limit")
+    requests = looked_up(requests, used, "used", 0, _USED)
+    # The fold starts from what is left of the limit.
+    left = requests.withColumn("quota_limit", F.col("quota_limit") - F.col(_USED))
+    folded = _folded(left, order, keys, parts)
+    whole = {c: F.col(c) + F.col(_USED) for c in ("quota_limit", "used_after")}
+    return folded.withColumns(whole).drop(_USED).withColumn(
+        "warned", F.col("admitted") & (F.col("used_after") > F.col("quota_limit") * warn_share)
+    )
+
+
+def _folded(requests: DataFrame, order: Sequence[str], keys: Sequence[str], parts: int | None) -> DataFrame:
+    """`requests` with `admitted` and `used_after`, each key folded against its `quota_limit`."""
+    # One text per key: nulls are left out of it, so they group and join like any value.
+    keyed = requests.withColumn(_KEY, F.to_json(F.struct(*keys)))
+    blocks = sorted_blocks(keyed, [_KEY], order, parts)
+    by = [_KEY, *order]
+    starts = _block_starts(blocks, order)
     if starts:
-        seeds = session.createDataFrame(
-            [(*key, block, remaining) for (key, block), remaining in starts.items()], f"{fields}, _start bigint"
+        seeds = blocks.sparkSession.createDataFrame(
+            [(key, block, rest) for (key, block), rest in starts.items()], f"{_KEY} string, {BLOCK} int, {_START} bigint"
         )
         # Proven bound: two rows per block at most.
-        tagged = blocks.join(F.broadcast(seeds), [*keys, BLOCK], "left")
+        tagged = blocks.join(F.broadcast(seeds), [_KEY, BLOCK], "left")
     else:
-        tagged = blocks.withColumn("_start", F.lit(None).cast("bigint"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*keys, *order], kind="stable")
-        admitted, used = [], []
-        for _, part in pdf.groupby(keys, sort=False, dropna=False):
-            cap = int(part["quota_limit"].iloc[0])
-            start = part["_start"].iloc[0]
-            taken, left, _rest = admit(part["amount"].tolist(), cap if pd.isna(start) else int(start))
-            admitted += taken
-            used += [cap - r for r in left]
-        pdf["admitted"], pdf["used_after"] = admitted, used
-        return pdf.drop(columns=["_start", BLOCK])
-
-    out = [f for f in blocks.schema.fields if f.name != BLOCK]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", admitted boolean, used_after bigint"
-    return (
-        tagged.groupBy(BLOCK)
-        .applyInPandas(fold, schema)
-        .withColumn("warned", F.col("admitted") & (F.col("used_after") > F.col("quota_limit") * warn_share))
-    )
-
-
-def _block_starts(blocks: DataFrame, keys: list[str], order: list[str]) -> dict:
+        tagged = blocks.withColumn(_START, F.lit(None).cast("bigint"))
+    kept = requests.columns
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = _ordered(table, by)
+        values, known = _amounts(table)
+        names = table.column(_KEY).combine_chunks().dictionary_encode().indices.to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(names)) + 1).tolist(), len(names)]
+        admitted, used = np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype="int64")
+        for lo, hi in zip(edges, edges[1:]):
+            cap, start = table.column("quota_limit")[lo].as_py(), table.column(_START)[lo].as_py()
+            start = cap if start is None else start
+            here = np.flatnonzero(known[lo:hi]) + lo
+            admitted[here] = admit(values[here], start)[0]
+            used[lo:hi] = cap - start + np.cumsum(np.where(admitted[lo:hi], values[lo:hi], 0))
+        out = table.select(kept)
+        return out.append_column("admitted", pa.array(admitted)).append_column("used_after", pa.array(used))
+
+    schema = StructType([*requests.schema.fields, StructField("admitted", BooleanType()), StructField("used_after", LongType())])
+    return tagged.groupBy(BLOCK).applyInArrow(fold, schema)
+
+
+def _block_starts(blocks: DataFrame, order: Sequence[str]) -> dict[tuple[str, int], int]:
     """Remainder at the start of every (key, block) of the keys that span blocks."""
+    narrow = blocks.select(_KEY, BLOCK, *order, "amount", "quota_limit")
     spanning = (
-        blocks.groupBy(*keys)
-        .agg(F.min(BLOCK).alias("_lo"), F.max(BLOCK).alias("_hi"))
-        .filter("_lo < _hi")
-        .select(*keys)
+        blocks.groupBy(_KEY).agg(F.min(BLOCK).alias("_lo"), F.max(BLOCK).alias("_hi")).filter("_lo < _hi").select(_KEY)
     )
     # A key that spans blocks crosses a border, so there are fewer of them than blocks.
-    rows = blocks.join(F.broadcast(spanning), keys, "left_semi")
-    fields = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema.fields if f.name in [*keys, BLOCK]
-    )
-    names = [f.name for f in blocks.schema.fields if f.name in [*keys, BLOCK]]
+    rows = narrow.join(F.broadcast(spanning), _KEY, "left_semi")
+
+    def profile(table: pa.Table) -> pa.Table:
+        values, known = _amounts(_ordered(table, order))
+        cap = table.column("quota_limit")[0].as_py()
+        small, gate = _profile(values[known], cap)
+        return pa.table(
+            {
+                _KEY: table.column(_KEY)[:1],
+                BLOCK: table.column(BLOCK)[:1],
+                "cap": pa.array([cap], pa.int64()),
+                "small": pa.array([small], pa.list_(pa.int64())),
+                "gate": pa.array([gate], pa.list_(pa.int64())),
+            }
+        )
 
-    def profile(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        small, gate = _profile(pdf["amount"].tolist())
-        head = pdf[names].iloc[:1].reset_index(drop=True)
-        head["cap"], head["small"], head["gate"] = int(pdf["quota_limit"].iloc[0]), [small], [gate]
-        return head
+    def end(table: pa.Table) -> pa.Table:
+        values, known = _amounts(_ordered(table, order))
+        rest = admit(values[known], table.column(_START)[0].as_py())[2]
+        return pa.table({_KEY: table.column(_KEY)[:1], "rest": pa.array([rest], pa.int64())})
 
-    profiles = rows.groupBy(*keys, BLOCK).applyInPandas(
-        profile, f"{fields}, cap bigint, small array<bigint>, gate array<bigint>"
+    profiles = rows.groupBy(_KEY, BLOCK).applyInArrow(
+        profile, f"{_KEY} string, {BLOCK} int, cap bigint, small array<bigint>, gate array<bigint>"
     )
-    walk: dict[tuple, list] = {}
+    walk: dict[str, list] = {}
     for row in sorted(profiles.collect(), key=lambda r: r[BLOCK]):
-        walk.setdefault(tuple(row[k] for k in keys), []).append(row)
-    starts: dict[tuple, int] = {}
+        walk.setdefault(row[_KEY], []).append(row)
+    starts: dict[tuple[str, int], int] = {}
     state = {key: (0, items[0]["cap"]) for key, items in walk.items()}
     while state:
         stops = {}
@@ -308,26 +375,17 @@ def _block_starts(blocks: DataFrame, keys: list[str], order: list[str]) -> dict:
         if not stops:
             break
         wanted = blocks.sparkSession.createDataFrame(
-            [(*key, block, remaining) for key, (_at, block, remaining) in stops.items()],
-            ", ".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}" for c in [*keys, BLOCK]) + ", _start bigint",
+            [(key, block, remaining) for key, (_at, block, remaining) in stops.items()],
+            f"{_KEY} string, {BLOCK} int, {_START} bigint",
         )
-
-        def end(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(order, kind="stable")
-            head = pdf[names].iloc[:1].reset_index(drop=True)
-            head["rest"] = admit(pdf["amount"].tolist(), int(pdf["_start"].iloc[0]))[2]
-            return head
-
         # A block is one file, so the scan skips all others.
         here = F.col(BLOCK).isin(sorted({block for _at, block, _rest in stops.values()}))
         ends = (
-            blocks.filter(here)
-            .join(F.broadcast(wanted), [*keys, BLOCK])
-            .groupBy(*keys, BLOCK)
-            .applyInPandas(end, f"{fields}, rest bigint")
+            narrow.filter(here)
+            .join(F.broadcast(wanted), [_KEY, BLOCK])
+            .groupBy(_KEY, BLOCK)
+            .applyInArrow(end, f"{_KEY} string, rest bigint")
             .collect()
         )
-        state = {
-            tuple(r[k] for k in keys): (stops[tuple(r[k] for k in keys)][0] + 1, r["rest"]) for r in ends
-        }
+        state = {r[_KEY]: (stops[r[_KEY]][0] + 1, r["rest"]) for r in ends}
     return starts

@@ -177,7 +177,7 @@ def snk_01(spark, d):
 )
 def snk_02(spark, d):
     path, target = shared_path(spark, "log"), shared_path(spark, "compact")
-    sinks.append_predictions(b.events(spark, d).select("event_id", "device_id", "timestamp"), path)
+    sinks.append_predictions(b.events(spark, d).select("event_id", "device_id", "timestamp"), path, 0)
     sinks.compact_predictions(spark, path, target, ["timestamp", "event_id"])
     return spark.read.parquet(target)
 

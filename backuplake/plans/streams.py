@@ -165,7 +165,9 @@ def str_09(spark, d):
         F.col("size").alias("amount"),
         F.col("timestamp").alias("ts"),
     )
-    return run_to_end(stateful.admit_requests(rows, QUOTA_LIMIT), "str09").select("request_id", "admitted", "used_after", "warned")
+    path = shared_path(spark, "admission")
+    run_to_end(rows, "str09", sink=stateful.admission_writer(path, default_limit=QUOTA_LIMIT))
+    return spark.read.parquet(f"{path}/admitted").select("request_id", "admitted", "used_after", "warned")
 
 
 @query(

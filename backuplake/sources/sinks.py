@@ -29,32 +29,34 @@ def alert_writer(path: str, kind: str) -> Callable[[DataFrame, int], None]:
     return send
 
 
-def append_predictions(predictions: DataFrame, path: str) -> None:
-    predictions.write.mode("append").parquet(path)
+def append_predictions(predictions: DataFrame, path: str, batch_id: int) -> None:
+    """Adds a batch to the log; writing the same batch again replaces it."""
+    batch_writer(path)(predictions, batch_id)
 
 
 def newest(log: DataFrame, by: list[str], keep: int = 10_000) -> DataFrame:
     """The newest `keep` rows of a log; `by` starts with its time and ends in a unique column.
 
-    Hourly counts first tell how far back the rows reach. Without that every task of a long log
-    would hand its own newest `keep` rows to the one task that picks among them.
+    Rows without a time come last. Hourly counts first tell how far back the rows reach. Without
+    that every task of a long log would hand its own newest `keep` rows to the one task that picks
+    among them.
     """
     ts = by[0]
-    hours = log.filter(F.col(ts).isNotNull()).groupBy(F.date_trunc("hour", ts).alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
+    hours = log.groupBy(F.date_trunc("hour", ts).alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
     # One row per hour of the log.
-    later = Window.orderBy(F.col("_hour").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    reach = (
-        hours.withColumn("_newer", F.coalesce(F.sum("_n").over(later), F.lit(0)))
-        .filter(F.col("_newer") < keep)
-        .agg(F.min("_hour").alias("_from"))
-    )
-    recent = log.join(F.broadcast(reach), F.col(ts) >= F.col("_from"), "inner").drop("_from")
-    return recent.orderBy(*[F.col(c).desc() for c in by]).limit(keep)
+    later = Window.orderBy(F.col("_hour").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    reach = hours.withColumn("_newer", F.coalesce(F.sum("_n").over(later), F.lit(0))).filter(F.col("_newer") < keep)
+    # Scalar subqueries are known before the scan starts, so its filter can use them.
+    since = reach.agg(F.min("_hour")).scalar()
+    untimed = reach.agg(F.coalesce(F.bool_or(F.col("_hour").isNull()), F.lit(False))).scalar()
+    timed = log.filter(F.col(ts) >= since)
+    recent = timed.unionByName(log.filter(F.col(ts).isNull() & untimed))
+    return recent.orderBy(*[F.col(c).desc_nulls_last() for c in by]).limit(keep)
 
 
 def compact_predictions(spark: SparkSession, path: str, target: str, by: list[str], keep: int = 10_000) -> None:
     """Writes the kept part of the log to a new folder, so a failed run loses nothing."""
-    newest(spark.read.parquet(path), by, keep).write.mode("errorifexists").parquet(target)
+    newest(spark.read.parquet(path).drop("batch_id"), by, keep).write.mode("errorifexists").parquet(target)
 
 
 def with_expiry(updates: DataFrame, ts: str = "timestamp", seconds: int = 3600) -> DataFrame:

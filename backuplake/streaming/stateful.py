@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
-from backuplake.operators.windows import admit
+from backuplake.operators.windows import consume_quota
+from backuplake.sources.sinks import batch_writer
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -62,37 +65,37 @@ def stale_devices(heartbeats: DataFrame, seconds: int = 30, delay: str = "10 sec
     )
 
 
-def admit_requests(requests: DataFrame, limit: int, warn_share: float = 0.8) -> DataFrame:
-    """Quota admission in arrival order per tenant and resource; only the used amount is kept.
+def admission_writer(
+    path: str, limits: DataFrame | None = None, default_limit: int = 1 << 30, warn_share: float = 0.8
+) -> Callable[[DataFrame, int], None]:
+    """Quota admission in arrival order, as a `foreachBatch` target: a hot tenant is cut into blocks.
 
-    `requests`: request_id, tenant_id, resource, amount, ts. Rows of one micro-batch come
-    unordered and are sorted by time here.
+    Batches of `requests` (request_id, tenant_id, resource, amount, ts) are sorted by time. Each batch
+    writes its requests to `path`/admitted and the usage after it to `path`/usage; it starts from the
+    usage of the newest batch before it, so a replayed batch gives the same rows. `limits`
+    (tenant_id, resource, quota_limit) is read anew for each batch.
     """
+    keys = ["tenant_id", "resource"]
+    write, keep = batch_writer(f"{path}/admitted"), batch_writer(f"{path}/usage")
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "request_id"], kind="stable")
-        used = state.get[0] if state.exists else 0
-        taken, left, rest = admit(rows["amount"].tolist(), limit - used)
-        state.update((limit - rest,))
-        after = [limit - x for x in left]
-        yield pd.DataFrame(
-            {
-                "request_id": rows["request_id"].tolist(),
-                "tenant_id": rows["tenant_id"].tolist(),
-                "resource": rows["resource"].tolist(),
-                "admitted": taken,
-                "used_after": after,
-                "warned": [ok and used_now > limit * warn_share for ok, used_now in zip(taken, after)],
-            }
-        )
+    def usage(spark: SparkSession, batch_id: int) -> DataFrame | None:
+        for earlier in range(batch_id - 1, -1, -1):
+            try:
+                return spark.read.parquet(f"{path}/usage/batch_id={earlier}")
+            except AnalysisException as missing:
+                if missing.getCondition() != "PATH_NOT_FOUND":
+                    raise
+        return None
 
-    return requests.groupBy("tenant_id", "resource").applyInPandasWithState(
-        step,
-        "request_id bigint, tenant_id bigint, resource string, admitted boolean, used_after bigint, warned boolean",
-        "used bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    def step(batch: DataFrame, batch_id: int) -> None:
+        used = usage(batch.sparkSession, batch_id)
+        out = consume_quota(batch, limits, keys=keys, default_limit=default_limit, warn_share=warn_share, used=used)
+        write(out, batch_id)
+        done = batch.sparkSession.read.schema(out.schema).parquet(f"{path}/admitted/batch_id={batch_id}")
+        now = done.filter("admitted").groupBy(*keys).agg(F.sum("amount").alias("used"))
+        keep((now if used is None else now.unionByName(used)).groupBy(*keys).agg(F.sum("used").alias("used")), batch_id)
+
+    return step
 
 
 def dirty_triggers(writes: DataFrame, threshold: int = 1000) -> DataFrame:
@@ -117,10 +120,11 @@ def dirty_triggers(writes: DataFrame, threshold: int = 1000) -> DataFrame:
             }
         )
 
+    kind = {f.name: f.dataType.simpleString() for f in writes.schema.fields}
     first = writes.select("device_id", "block_number", "ts").dropDuplicates(["device_id", "block_number"])
     return first.groupBy("device_id").applyInPandasWithState(
         step,
-        "device_id bigint, block_number bigint, trigger_no bigint",
+        f"device_id {kind['device_id']}, block_number {kind['block_number']}, trigger_no bigint",
         "seen bigint",
         "append",
         GroupStateTimeout.NoTimeout,

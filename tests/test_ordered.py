@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from backuplake.jobs.replay import MOVES, replay
-from backuplake.operators import aggregates, windows
+from backuplake.operators import aggregates, ordered, windows
 from backuplake.operators.ordered import indexed_with_next, running_totals, sorted_blocks
 
 
@@ -79,6 +79,37 @@ def test_quota_edges(spark):
     assert got == {1: (True, 80, False), 2: (False, 80, False), 3: (True, 100, True), 4: (False, 0, False), 5: (False, 0, False)}
 
 
+def test_quota_keeps_null_keys_and_wide_numbers(spark):
+    wide = (1 << 53) + 1
+    data = [(i, None, "S", 1, i, wide if i % 2 else None) for i in range(400)] + [(1000, None, "S", None, 0, wide)]
+    df = spark.createDataFrame(data, "request_id long, tenant_id string, resource string, amount long, ts long, tag long")
+    limits = spark.createDataFrame([(None, "S", 100), ("x", "S", 7)], "tenant_id string, resource string, quota_limit long")
+    got = {r.request_id: r for r in windows.consume_quota(df, limits, parts=8).collect()}
+    assert len(got) == 401 and sum(r.admitted for r in got.values()) == 100
+    assert all(got[i].admitted == (i < 100) for i in range(400)) and not got[1000].admitted
+    assert got[1].tag == wide and got[2].tag is None and got[1000].amount is None
+
+
+@pytest.mark.parametrize("limit", [0, 1, 100, (1 << 62) + 3, (1 << 63) - 1])
+def test_admission_is_the_serial_fold(limit):
+    rng = random.Random(limit)
+    amounts = [rng.choice([0, 1, 2, rng.randrange(1, 130), rng.randrange(1, 1 << rng.randrange(1, 63))]) for _ in range(500)]
+    rest, taken, left = limit, [], []
+    for a in amounts:
+        taken.append(a <= rest)
+        rest -= a if a <= rest else 0
+        left.append(rest)
+    got = windows.admit(amounts, limit)
+    assert (got[0].tolist(), got[1].tolist(), got[2]) == (taken, left, rest)
+
+
+def test_blocks_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 50)
+    blocks = sorted_blocks(spark.range(3000).withColumn("k", F.lit(1)), ["k"], ["id"])
+    sizes = [r["count"] for r in blocks.groupBy("_block").count().collect()]
+    assert len(sizes) > 50 and max(sizes) <= 150
+
+
 def test_replay_of_a_hot_job(spark):
     rng = random.Random(3)
     names = list(MOVES) + ["unknown"]

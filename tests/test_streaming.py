@@ -58,14 +58,27 @@ def test_late_rows_and_closed_windows(spark, tmp_path, rows):
     assert (minute(20), 7) in totals and (minute(21), 12) in totals and (minute(25), 5) in totals and (minute(30), 10) in totals
 
 
-def test_restart_continues_where_it_stopped(spark, tmp_path):
-    feed = Feed(spark, tmp_path, "request_id long, tenant_id long, resource string, amount long, ts timestamp")
-    feed.put([(1, 1, "S", 60, minute(0)), (2, 1, "S", 60, minute(1))])
-    build = lambda s: stateful.admit_requests(s, 100)
-    feed.drain(build)
-    feed.put([(4, 1, "S", 1, minute(3)), (3, 1, "S", 40, minute(2)), (5, 2, "S", 100, minute(0))])
-    got = {r.request_id: (r.admitted, r.used_after, r.warned) for r in feed.drain(build).collect()}
-    assert got == {1: (True, 60, False), 2: (False, 60, False), 3: (True, 100, True), 4: (False, 100, False), 5: (True, 100, True)}
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_admission_carries_usage_over_restarts(spark, tmp_path, kind):
+    tenant = (lambda n: n) if kind == "long" else "tenant-{}".format
+    feed = Feed(spark, tmp_path, f"request_id long, tenant_id {kind}, resource string, amount long, ts timestamp")
+    limits = spark.createDataFrame([(tenant(2), "S", 30)], f"tenant_id {kind}, resource string, quota_limit long")
+    out = str(tmp_path / "admission")
+    sink = stateful.admission_writer(out, limits, default_limit=100)
+    feed.put([(1, tenant(1), "S", 60, minute(0)), (2, tenant(1), "S", 60, minute(1))])
+    feed.drain(lambda s: s, sink)
+    feed.put([(4, tenant(1), "S", 1, minute(3)), (3, tenant(1), "S", 40, minute(2)), (5, tenant(2), "S", 31, minute(0))])
+    feed.put([(6, tenant(2), "S", 30, minute(0)), (7, None, "S", 5, minute(4))])
+    feed.put([(8, None, "S", 96, minute(5))])
+    feed.drain(lambda s: s, sink)
+    want = {1: (True, 60, False), 2: (False, 60, False), 3: (True, 100, True), 4: (False, 100, False), 5: (False, 0, False),
+            6: (True, 30, True), 7: (True, 5, False), 8: (False, 5, False)}
+    found = lambda: {r.request_id: (r.admitted, r.used_after, r.warned) for r in spark.read.parquet(f"{out}/admitted").collect()}
+    assert found() == want
+    # A replayed batch starts from the usage before it.
+    again = spark.createDataFrame([(8, None, "S", 96, minute(5))], feed.schema)
+    sink(again, 3)
+    assert found() == want
 
 
 def test_liveness_timer(spark, tmp_path):
@@ -77,6 +90,13 @@ def test_liveness_timer(spark, tmp_path):
     assert got == {1: minute(0, 25), 2: minute(0)}
 
 
+def test_dirty_trigger_of_named_devices(spark, tmp_path):
+    feed = Feed(spark, tmp_path, "device_id string, block_number long, ts timestamp")
+    feed.put([("d", i, minute(i)) for i in range(6)])
+    got = feed.drain(lambda s: stateful.dirty_triggers(s, threshold=4)).collect()
+    assert [(r.device_id, r.trigger_no) for r in got] == [("d", 1)]
+
+
 def test_dirty_trigger_across_batches(spark, tmp_path):
     feed = Feed(spark, tmp_path, "device_id long, block_number long, ts timestamp")
     feed.put([(1, i, minute(i)) for i in range(6)])
