@@ -128,7 +128,7 @@ def file_class(path: Column, is_directory: Column | None = None) -> Column:
 
 
 def glob_pattern(glob: str) -> str:
-    """A path glob as a regular expression; `*` stays inside one path segment's text."""
+    """A path glob as a regular expression; `*` matches any text, path separators too."""
     out = []
     for char in glob:
         if char == "*":

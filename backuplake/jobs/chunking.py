@@ -26,17 +26,15 @@ def split_fixed(files: DataFrame, chunk_bytes: int = MIB, keys: Sequence[str] =
 
 
 def reassemble(chunks: DataFrame, keys: Sequence[str] = ("path",), **measures: Column) -> DataFrame:
-    """Chunk data joined in position order, one row per file, with any further aggregates.
+    """Chunk data joined in position order, one row per file, with any further aggregates. A file that
+    lacks the data of a chunk has none.
 
     The result is one value per file, so a file is limited by the size of a binary value;
     larger restores keep chunk rows and write them in order.
     """
-    parts = F.array_sort(F.collect_list(F.struct("pos", "data")))
-    merged = F.aggregate(
-        F.transform("_parts", lambda p: p["data"]), F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x)
-    )
+    merged = F.when(F.count_if(F.col("data").isNull()) == 0, F.expr("listagg(data, x'') WITHIN GROUP (ORDER BY pos)"))
     more = [expr.alias(name) for name, expr in measures.items()]
-    return chunks.groupBy(*keys).agg(parts.alias("_parts"), *more).select(*keys, merged.alias("data"), *measures)
+    return chunks.groupBy(*keys).agg(merged.alias("data"), *more)
 
 
 def gear_table() -> np.ndarray:

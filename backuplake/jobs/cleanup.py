@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from backuplake.operators.joins import orphan_chunks
+from backuplake.operators.joins import unique_keys
 
 FINISHED = ["COMPLETED", "FAILED"]
 
@@ -34,6 +34,7 @@ def orphaned_chunks(
     chunks: DataFrame, kept_files: DataFrame, as_of: Column, days: int = 30
 ) -> tuple[DataFrame, DataFrame]:
     """Old chunks no live file refers to. `kept_files` (after the purge): chunk_id, is_deleted."""
-    live = kept_files.filter(~F.col("is_deleted")).select("chunk_id")
-    gone = orphan_chunks(chunks, live).filter(F.col("created_at") < cutoff(as_of, days))
-    return chunks.join(gone.select("chunk_id"), "chunk_id", "left_anti"), gone
+    live = unique_keys(kept_files.filter(~F.col("is_deleted")), "chunk_id").withColumn("_live", F.lit(True))
+    flagged = chunks.join(live, "chunk_id", "left")
+    kept, gone = _split(flagged, F.col("_live").isNull() & (F.col("created_at") < cutoff(as_of, days)))
+    return kept.drop("_live"), gone.drop("_live")

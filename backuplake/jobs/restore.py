@@ -42,10 +42,14 @@ def restore(
     """Restored files with their verdict.
 
     `requests`: restore_id, backup_id, files. `manifest`: backup_id, path, chunks, checksum.
-    `store`: chunk_id, data. `existing`: paths already at the target.
+    `store`: chunk_id, data. `existing`: paths already at the target; unless `overwrite` is set,
+    they are taken out before any chunk is read and carry no data.
     """
     keys = ["restore_id", "backup_id", "path"]
-    plan = restore_plan(requests, manifest.select("backup_id", "path", "chunks"), store)
+    open_files = manifest.select("backup_id", "path", "chunks")
+    if not overwrite:
+        open_files = open_files.join(existing.select("path"), "path", "left_anti")
+    plan = restore_plan(requests, open_files, store)
     files = reassemble(plan.select(*keys, "pos", "data"), keys)
     wanted = requests.select("restore_id", "backup_id", F.explode("files").alias("path"))
     listed = wanted.join(manifest.select("backup_id", "path", "checksum"), ["backup_id", "path"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backuplake import schemas
+from backuplake.operators.joins import unique_keys
 
 
 def parse_events(df: DataFrame, value: str = "value") -> DataFrame:
@@ -109,7 +110,7 @@ def apply_updates(old: DataFrame, updates: DataFrame, key: str, stamp: dict[str,
 
 def soft_delete(files: DataFrame, deletes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Marks listed files as deleted and keeps their records."""
-    marks = deletes.select(*keys).distinct().withColumn("_hit", F.lit(True))
+    marks = unique_keys(deletes, *keys).withColumn("_hit", F.lit(True))
     return (
         files.join(marks, list(keys), "left")
         .withColumn("is_deleted", F.col("is_deleted") | F.coalesce("_hit", F.lit(False)))

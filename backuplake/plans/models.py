@@ -137,16 +137,9 @@ def _history(spark, d):
     )
 
 
-# Two queries look at the same ensemble; it is trained once per application and table folder.
-_ENSEMBLES: dict[tuple[str, str], regressors.WindowModel] = {}
-
-
 def _window_model(spark, d):
-    name = (spark.sparkContext.applicationId, d)
-    if name not in _ENSEMBLES:
-        key = F.concat_ws(":", "tenant_id", F.unix_timestamp("timestamp"))
-        _ENSEMBLES[name] = regressors.train_windows(_history(spark, d), key)[0]
-    return _ENSEMBLES[name]
+    key = F.concat_ws(":", "tenant_id", F.unix_timestamp("timestamp"))
+    return regressors.train_windows(_history(spark, d), key)[0]
 
 
 def _next_day(spark, d):
@@ -301,12 +294,18 @@ def ml_14(spark, d):
     return scored.select("event_id", (two & quiet & (F.col("is_anomaly") == (F.col("anomaly_score") < 0))).alias("consistent"))
 
 
-@query("ml_15_reconstruction_error", "SELECT vec_id, FALSE AS is_corrupt, TRUE AS has_error FROM embeddings")
+@query(
+    "ml_15_reconstruction_error",
+    """SELECT vec_id, FALSE AS is_corrupt, TRUE AS has_error FROM embeddings
+       UNION ALL SELECT -1 - vec_id, TRUE, TRUE FROM embeddings""",
+)
 def ml_15(spark, d):
-    """Vectors like the training data are rebuilt within the threshold."""
+    """Vectors like the training data are rebuilt within the threshold; shifted and stretched copies are not."""
     vectors = b.read(spark, d, "embeddings").select("vec_id", "embedding")
     model = anomaly.train_corruption(vectors, "embedding")
-    out = anomaly.detect_corruption(vectors, "embedding", model)
+    broken = F.transform("embedding", lambda x, i: x * 20 + F.when(i % 2 == 0, 30.0).otherwise(-30.0))
+    planted = vectors.select((-1 - F.col("vec_id")).alias("vec_id"), broken.cast(vectors.schema["embedding"].dataType).alias("embedding"))
+    out = anomaly.detect_corruption(vectors.unionByName(planted), "embedding", model)
     return out.select("vec_id", "is_corrupt", F.col("reconstruction_error").isNotNull().alias("has_error"))
 
 

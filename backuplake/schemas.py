@@ -8,6 +8,7 @@ def column_names(ddl: str) -> list[str]:
     return [part.split()[0] for part in ddl.split(",")]
 
 
+# Field names and types of the records on the wire.
 # Flat JSON payload of the streaming job, before casting.
 RAW_EVENT_FIELDS = ["eventTime", "tenantId", "backupType", "size", "duration", "file_count"]
 
@@ -22,59 +23,11 @@ BACKUP_EVENT = (
     "event_id string, timestamp timestamp, device_id string, tenant_id string, user_id string,"
     f" started {STARTED}, completed {COMPLETED}, failed {FAILED}"
 )
-BACKUP_JOBS = (
-    "id string, deviceId string, paths string, backupType string, status string, createdAt timestamp,"
-    " startedAt timestamp, completedAt timestamp, estimatedDuration bigint, progress int, error string,"
-    " priority int, options string"
-)
-RESTORE_JOBS = (
-    "id string, deviceId string, snapshotId string, files string, targetPath string, status string,"
-    " createdAt timestamp, startedAt timestamp, completedAt timestamp, progress int, error string,"
-    " overwriteExisting boolean, preservePermissions boolean"
-)
-BACKUP_SNAPSHOTS = (
-    "id string, deviceId string, backupJobId string, path string, size bigint, checksum string,"
-    " createdAt timestamp, backupType string, metadata string"
-)
-MANIFEST = (
-    "backup_id string, timestamp timestamp, type string, files array<struct<path:string, size:bigint,"
-    " modified_time:timestamp, checksum:string, chunk_ids:array<string>>>"
-)
-FILES_STATE = (
-    "path string, hash string, size bigint, modified timestamp, chunks array<string>, device_id string,"
-    " backup_time timestamp, is_deleted boolean"
-)
-CHUNKS_STATE = (
-    "id string, hash string, size bigint, references array<string>, storage_nodes array<string>,"
-    " created_time timestamp, device_id string"
-)
-DEVICES_STATE = (
-    "device_id string, last_sync timestamp, is_online boolean, backup_progress int, total_files bigint,"
-    " completed_files bigint, sync_version bigint"
-)
-JOBS_STATE = (
-    "id string, device_id string, status string, start_time timestamp, end_time timestamp, total_size bigint,"
-    " processed_size bigint, files_count bigint, processed_files bigint, error_message string, type string"
-)
-FILE_VERSIONS = ("path string, version bigint, timestamp timestamp, checksum string, node_id string")
-SHARDS = (
-    "chunk_id string, index int, data binary, checksum string, shard_type string, original_length int"
-)
 DEVICE_KEYS = (
     "keyId string, deviceId string, algorithm string, keyDerivation string, iterations int,"
     " createdAt bigint, isActive boolean"
 )
-QUOTA_REQUESTS = ("tenant_id string, resource string, amount bigint, ts timestamp")
-BLOCK_WRITES = ("device_id string, block_number bigint, ts timestamp, data binary")
-MESSAGES = ("id string, type string, device_id string, payload string, timestamp timestamp")
 BACKUP_TRAINING = (
     "file_count int, total_size bigint, device_cpu double, device_memory double, network_speed double,"
     " backup_duration double"
 )
-HEALTH_TRAINING = (
-    "cpu_usage double, memory_usage double, disk_io double, network_io double, backup_speed double"
-)
-
-# Enumerations shared by readers and validators.
-BACKUP_TYPES = ["FULL", "INCREMENTAL", "DIFFERENTIAL", "SYNTHETIC_FULL"]
-JOB_STATUSES = ["QUEUED", "RUNNING", "PAUSED", "COMPLETED", "FAILED", "CANCELLED"]

@@ -3,7 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from backuplake.operators import joins
 from backuplake.plans import load
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -31,6 +33,7 @@ def test_no_pair_joins_and_no_row_at_a_time_python(spark, name):
         ("flt_11_online_devices", "GreaterThan(c_acctbal,0.0)"),
         ("snk_03_expiring_updates", "IsNotNull(ts)"),
         ("win_03_latest_state", "LessThan(l_shipdate"),
+        ("win_06_retention", "GreaterThanOrEqual("),
     ],
 )
 def test_filters_reach_the_scan(spark, name, pushed):
@@ -53,3 +56,31 @@ def test_windows_are_summed_per_step_first(spark):
     plan = plan_of(spark, "agg_01_windowed_stats")
     # The copies into overlapping windows are made above the first aggregation.
     assert plan.index("Expand") < plan.rindex("Exchange")
+
+
+def test_hot_key_of_a_lookup_is_split(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        digest = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))
+        incoming = spark.range(0, 60_000, 1, 16).select(digest.alias("digest"), F.sha2(F.col("id").cast("string"), 256).alias("body"))
+        index = spark.range(0, 60_000, 1, 4).select((F.col("id") % 20_000).alias("digest"))
+        for found, flagged in (
+            (joins.duplicate_flags(incoming, index), 60_000),
+            (joins.new_chunks(incoming, index), None),
+        ):
+            rows = found.collect()
+            assert flagged is None or len(rows) == flagged
+            assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
