@@ -112,12 +112,16 @@ def reconstruct_chunks(shards: DataFrame, k: int, m: int, key: str = "chunk_id")
     Copies of a shard are reduced to one before chunks are gathered, so a group holds at most
     k + m shards.
     """
-    intact = shards.filter((digest(F.col("data")) == F.col("checksum")) & F.col("index").between(0, k + m - 1))
-    single = intact.groupBy(key, "index").agg(F.first("data").alias("data"), F.max("original_length").alias("original_length"))
-    gathered = single.groupBy(key).agg(
-        F.collect_list(F.struct("index", "data")).alias("_shards"), F.max("original_length").alias("original_length")
+    intact = (digest(F.col("data")) == F.col("checksum")) & F.col("index").between(0, k + m - 1)
+    # Damaged shards stay as nulls, so a chunk without an intact one is still there.
+    single = shards.groupBy(key, "index").agg(
+        F.first(F.when(intact, F.col("data")), ignorenulls=True).alias("data"),
+        F.max(F.when(intact, F.col("original_length"))).alias("original_length"),
+    )
+    every = single.groupBy(key).agg(
+        F.collect_list(F.when(F.col("data").isNotNull(), F.struct("index", "data"))).alias("_shards"),
+        F.max("original_length").alias("original_length"),
     )
-    every = shards.select(key).distinct().join(gathered, key, "left")
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -129,5 +133,5 @@ def reconstruct_chunks(shards: DataFrame, k: int, m: int, key: str = "chunk_id")
             yield pd.Series(out, dtype=object)
 
     return every.select(
-        key, F.coalesce(F.size("_shards"), F.lit(0)).alias("intact_shards"), run("_shards", "original_length").alias("data")
+        key, F.size("_shards").alias("intact_shards"), run("_shards", "original_length").alias("data")
     ).withColumn("status", F.when(F.col("data").isNull(), "INSUFFICIENT_SHARDS").otherwise("OK"))
