@@ -9,7 +9,7 @@ from backuplake.functions import features as fx
 from backuplake.ml import anomaly, isolation_forest, regressors, scoring
 from backuplake.ml import features as mf
 from backuplake.plans.registry import query
-from backuplake.session import shared_path
+from backuplake.session import pin, shared_path
 from backuplake.sources import bindings as b
 
 HEALTH = list(mf.HEALTH_FEATURES)
@@ -139,7 +139,8 @@ def _history(spark, d):
 
 def _window_model(spark, d):
     key = F.concat_ws(":", "tenant_id", F.unix_timestamp("timestamp"))
-    return regressors.train_windows(_history(spark, d), key)[0]
+    # Hours per tenant: small, and read by every fit and evaluation.
+    return regressors.train_windows(pin(_history(spark, d), "history"), key)[0]
 
 
 def _next_day(spark, d):
