@@ -71,6 +71,18 @@ def restore_plan(requests: DataFrame, manifest: DataFrame, chunks: DataFrame) ->
     return file_chunks(found, chunks, keys=["restore_id", "backup_id", "path"])
 
 
+def state_as_of(snapshots: DataFrame, keys: Sequence[str], at: str | None = None) -> DataFrame:
+    """The live row per key before `at` (the end without it): its newest row, however old, unless that is a deletion.
+
+    `snapshots`: the keys, snapshot_id, created_at, checksum, is_deleted.
+    """
+    rows = snapshots if at is None else snapshots.filter(F.col("created_at") < at)
+    newest = rows.groupBy(*keys).agg(
+        F.max_by(F.struct("checksum", "is_deleted"), F.struct("created_at", "snapshot_id")).alias("_newest")
+    )
+    return newest.filter(~F.coalesce("_newest.is_deleted", F.lit(False))).select(*keys, "_newest.checksum")
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], checksum: str = "checksum") -> DataFrame:
     """new / modified / deleted / unchanged per key; each side has one row per key."""
     a = old.select(*keys, F.col(checksum).alias("old_checksum"), F.lit(True).alias("_in_old"))

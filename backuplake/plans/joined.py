@@ -106,14 +106,10 @@ _DIFF = f"""SELECT coalesce(a.device_id, n.device_id) AS device_id, coalesce(a.p
 
 
 def _diff(spark, d):
-    def state(test):
-        return b.snapshots(spark, d).filter(test).groupBy("device_id", "path").agg(
-            F.max_by("checksum", F.struct("created_at", "snapshot_id")).alias("checksum")
-        )
-
-    return joins.snapshot_diff(
-        state("created_at < '1999-01-01'"), state("created_at >= '1998-01-01'"), ["device_id", "path"]
-    )
+    """The state at the start of 1999 against the state at the end of the table."""
+    keys = ["device_id", "path"]
+    rows = b.snapshots(spark, d)
+    return joins.snapshot_diff(joins.state_as_of(rows, keys, "1999-01-01"), joins.state_as_of(rows, keys), keys)
 
 
 @query("jn_06_snapshot_diff", _DIFF, "snapshots")
