@@ -9,9 +9,13 @@ templates are verified by the exact share of their shingles that the window hold
 any template shingle has no register in common with a template and is passed over.
 
 Words are lower-cased runs of letters, digits and underscores. Texts that are null or shorter than
-five words hold nothing (nor do templates). One row per document and template found, for its best
-window, the first of equals; repeated rows and null ids give rows of their own. Only `doc_id` and
-`text` are read.
+five words hold nothing (nor do templates). Notices that differ in a word or two (GPL-2.0 and GPL-3.0)
+share most shingles, so a text of one passes for the other: a template's match in a window counts only
+if one of the template's shingles there lies in no stronger match of a rival. A rival has shingles in
+common with the template, and neither holds all of the other's; stronger is a greater exact containment,
+in any window. Ties, templates inside one another and notices that stand beside each other are all reported.
+One row per document and template found, for its best window that counts, the first of equals; repeated
+rows and null ids give rows of their own. Only `doc_id` and `text` are read.
 """
 
 from __future__ import annotations
@@ -101,6 +105,16 @@ class Scanner:
         self.every = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
         #: Template shingles as places in `every`.
         self.sets = [np.searchsorted(self.every, s) for s in sets]
+        owners: dict[int, list[int]] = defaultdict(list)
+        for t, own in enumerate(self.sets):
+            for shingle in own.tolist():
+                owners[shingle].append(t)
+        near = {(t, u) for who in owners.values() for t in who for u in who if t != u}
+        inside = {(t, u) for t, u in near if np.isin(self.sets[t], self.sets[u]).all()}
+        #: Templates that share shingles, neither inside the other.
+        self.rivals: dict[int, list[int]] = defaultdict(list)
+        for t, u in sorted(near - inside - {(u, t) for t, u in inside}):
+            self.rivals[t].append(u)
         self.seeds = mixed(np.arange(1, bands_for(containment) + 1, dtype=np.uint64) * STEP)
         self.registers: dict[int, dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
         for t, s in enumerate(sets):
@@ -118,7 +132,8 @@ class Scanner:
         known = np.flatnonzero(self.every[place] == runs)
         if not len(known):
             return []
-        best: dict[int, tuple[float, int]] = {}
+        #: Per template: containment, first word, and the places in `known` of its shingles in that window.
+        matches: dict[int, list[tuple[float, int, np.ndarray]]] = defaultdict(list)
         for size, registers in self.registers.items():
             half = size // 2
             for w in sorted({k for p in (known // half).tolist() for k in (p - 1, p) if k >= 0}):
@@ -127,12 +142,23 @@ class Scanner:
                 candidates = {t for f, value in enumerate(least) for t in registers.get((f, value), ())}
                 if not candidates:
                     continue
-                inside = known[(known >= w * half) & (known < w * half + size)]
-                held = np.unique(place[inside])
+                first, end = np.searchsorted(known, [w * half, w * half + size])
+                inside = place[known[first:end]]
+                held = np.unique(inside)
                 for t in candidates:
                     share = len(np.intersect1d(held, self.sets[t], assume_unique=True)) / len(self.sets[t])
-                    if share >= self.containment and share > best.get(t, (0.0, 0))[0]:
-                        best[t] = (share, w * half)
+                    if share >= self.containment:
+                        matches[t].append((share, w * half, first + np.flatnonzero(np.isin(inside, self.sets[t]))))
+        best: dict[int, tuple[float, int]] = {}
+        for t, found in matches.items():
+            #: The greatest containment of a rival over each place.
+            rival = np.zeros(len(known))
+            for u in self.rivals.get(t, ()):
+                for share, _, at in matches.get(u, ()):
+                    rival[at] = np.maximum(rival[at], share)
+            for share, first_word, at in found:
+                if share > best.get(t, (0.0, 0))[0] and rival[at].min() <= share:
+                    best[t] = (share, first_word)
         return [(self.names[t], share, at) for t, (share, at) in sorted(best.items())]
 
 

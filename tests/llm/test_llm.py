@@ -333,3 +333,18 @@ def test_registered_queries(spark):
     from backuplake.llm.queries import load
 
     assert [n.split("_")[0] for n in sorted(load()[0], key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_license_scan_tells_versions_apart(spark):
+    two, three, words = license_scan.TEMPLATES["GPL-2.0"], license_scan.TEMPLATES["GPL-3.0"], "lorem ipsum dolor sit amet " * 4
+    # Moved by a word each, so that windows also end inside the notice.
+    lead = [" ".join(f"w{i}" for i in range(k)) for k in range(17)]
+    texts = [f"{x} {n} {words}" for n in (two, three) for x in lead] + [f"{x} {three} and {two}" for x in lead]
+    texts += [f"{x} {three} {three}" for x in lead] + [f"{two[5:]} {words} {three}", three.replace("3", "4")]
+    want = [{("GPL-2.0", 1.0)}] * 17 + [{("GPL-3.0", 1.0)}] * 17 + [{("GPL-2.0", 1.0), ("GPL-3.0", 1.0)}] * 17 + [{("GPL-3.0", 1.0)}] * 17
+    # A damaged notice of its own beside a whole one, and one that is as close to both.
+    want += [{("GPL-2.0", 0.875), ("GPL-3.0", 1.0)}, {("GPL-2.0", 0.875), ("GPL-3.0", 0.875)}]
+    got = [set() for _ in texts]
+    for r in license_scan.scan(frame(spark, texts)).collect():
+        got[r["doc_id"]].add((r["license"], r["containment"]))
+    assert got == want
