@@ -98,5 +98,27 @@ def job_progress(files: DataFrame) -> DataFrame:
 
 
 def first_seen(chunks: DataFrame, ts: str = "timestamp", delay: str = "10 minutes", key: str = "digest") -> DataFrame:
-    """Chunks whose digest has not come within the watermark; the index join follows per batch."""
+    """Chunks whose digest has not come within the watermark, for streams in order of time: late rows are
+    dropped, and a digest that returns later comes again. `first_seen_writer` is exact in any order."""
     return with_lateness(chunks, ts, delay).dropDuplicatesWithinWatermark([key])
+
+
+def first_seen_writer(path: str, key: str = "digest") -> Callable[[DataFrame, int], None]:
+    """Chunk dedup in any order, as a `foreachBatch` target: the digests of a batch that the index lacks.
+
+    The index is what earlier batches wrote to `path`, one folder per batch, so a replayed batch gives
+    the same rows. A null digest counts as one.
+    """
+    write = batch_writer(path)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.select(key).distinct()
+        if batch_id:
+            kind = batch.schema[key].dataType.simpleString()
+            stored = batch.sparkSession.read.schema(f"`{key}` {kind}, batch_id bigint").parquet(path)
+            index = stored.filter(F.col("batch_id") < batch_id).select(F.col(key).alias("_stored"))
+            # Both sides are unique, so there is no hot key.
+            fresh = fresh.join(index, F.col(key).eqNullSafe(F.col("_stored")), "left_anti")
+        write(fresh, batch_id)
+
+    return step

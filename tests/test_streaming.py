@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from backuplake.functions import features
 from backuplake.ml import scoring
 from backuplake.operators.windows import latest_by
+from backuplake.plans import streams
+from backuplake.plans.registry import QUERIES
 from backuplake.sources import readers, sinks
 from backuplake.streaming import events as se
 from backuplake.streaming import run, stateful
@@ -162,6 +164,31 @@ def test_dedup_across_batches(spark, tmp_path):
     assert sorted(r.digest for r in feed.drain(se.first_seen).collect()) == ["a", "b", "c"]
 
 
+def test_dedup_against_the_index_in_any_order(spark, tmp_path):
+    feed = Feed(spark, tmp_path, "digest string, timestamp timestamp")
+    feed.put([("a", minute(600)), ("a", minute(601)), ("b", minute(0))])
+    feed.put([("a", minute(0)), ("c", minute(0)), (None, minute(0))])
+    feed.put([("a", minute(1200)), ("d", minute(1)), (None, minute(900))])
+    feed.put([("e", minute(2)), ("b", minute(1300)), ("a", minute(1300))])
+    path = str(tmp_path / "index")
+    sink = se.first_seen_writer(path)
+    feed.drain(lambda s: s, sink)
+    found = lambda: sorted((r.batch_id, str(r.digest)) for r in spark.read.parquet(path).collect())
+    want = [(0, "a"), (0, "b"), (1, "None"), (1, "c"), (2, "d"), (3, "e")]
+    assert found() == want
+    # A replayed batch is held against the batches before it only.
+    sink(spark.createDataFrame([("a", minute(0)), ("c", minute(0)), (None, minute(0))], feed.schema), 1)
+    assert found() == want
+
+
+def test_chunk_dedup_query_over_four_triggers(spark, tmp_path, monkeypatch):
+    source = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    source.repartition(4).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(streams, "BATCH_BYTES", "1")
+    got = QUERIES["str_12_chunk_dedup"](spark, str(tmp_path))
+    assert got.count() == got.distinct().count() == source.select("l_partkey").distinct().count()
+
+
 def test_kafka_needs_its_connector(spark):
     with pytest.raises(Exception, match="(?i)kafka"):
         readers.event_topic(spark, "localhost:1")
