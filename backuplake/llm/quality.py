@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAM
     marked = labels.filter(learnable & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     marked = marked.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     picked = pin(drawn(marked, "quality", sample), "quality-sample")
-    # At most 2 * sample rows.
+    # At most 2 * sample ids are picked; an id may stand on many rows.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("places", pa.binary())])
 
@@ -148,10 +148,11 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAM
             columns = [batch.column("doc_id").cast(pa.int64()), batch.column("quality"), pa.array(places, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    table = rows.mapInArrow(run, "doc_id long, quality int, places binary").collect()
+    made = rows.mapInArrow(run, "doc_id long, quality int, places binary")
+    # Copies of one text count once, and are dropped before the driver sees them.
+    table = made.groupBy("places", "quality").agg(F.min("doc_id").alias("doc_id")).collect()
     table.sort(key=lambda r: (r["doc_id"], bytes(r["places"])))
-    # Copies of one text count once.
-    unique = {(bytes(r["places"]), r["quality"]): None for r in table}
+    unique = [(bytes(r["places"]), r["quality"]) for r in table]
     return Model([np.frombuffer(p, "<i4").astype(np.int64) for p, _ in unique], np.array([q for _, q in unique], np.int64))
 
 

@@ -348,3 +348,22 @@ def test_license_scan_tells_versions_apart(spark):
     for r in license_scan.scan(frame(spark, texts)).collect():
         got[r["doc_id"]].add((r["license"], r["containment"]))
     assert got == want
+
+
+def test_quality_collects_copies_once(spark, monkeypatch):
+    texts = [(i, f"good plain words {i} stand here" if i % 2 else f"buy now {i} cheap cheap") for i in range(20)]
+    docs = spark.createDataFrame(texts + [texts[3]] * 400, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    kind, counts = type(docs), []
+    collect = kind.collect
+    once = quality.fit(docs.distinct(), labels, F.lit(True))
+
+    def counted(self):
+        out = collect(self)
+        counts.append(len(out))
+        return out
+
+    monkeypatch.setattr(kind, "collect", counted)
+    model = quality.fit(docs, labels, F.lit(True))
+    assert max(counts) <= 20
+    assert np.array_equal(model.weight, once.weight) and model.bias == once.bias
