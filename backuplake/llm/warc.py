@@ -115,8 +115,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """Records put together again: what their headers say, the full payload and its facts, and `record`,
     the bytes of the WARC record."""
     headers = spark.read.parquet(f"{folder}/headers")
-    field = lambda name: F.regexp_extract("headers", rf"(?m)^{name}: <?([^\r\n>]*)", 1)
-    number = lambda name: F.nullif(F.regexp_extract("headers", rf"(?m)^{name}: <urn:page:([^>]*)>", 1), F.lit(""))
+    # Java's ^ also stands behind U+0085, U+2028 and U+2029, which a url may hold.
+    field = lambda name: F.regexp_extract("headers", rf"\r\n{name}: ([^\r\n]*)", 1)
+    number = lambda name: F.nullif(F.regexp_extract("headers", rf"\r\n{name}: <urn:page:([^>]*)>", 1), F.lit(""))
     joined = headers.join(payloads(spark, folder), "digest", "left")
     block = F.when(field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
     return joined.select(
@@ -124,7 +125,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         F.nullif(field("WARC-Target-URI"), F.lit("")).alias("url"),
         field("WARC-Type").alias("record_type"),
         number("WARC-Refers-To").cast("bigint").alias("refers_to"),
-        F.regexp_extract("headers", r"(?m)^WARC-Payload-Digest: sha1:(\w*)", 1).alias("stated_digest"),
+        F.regexp_extract("headers", r"\r\nWARC-Payload-Digest: sha1:(\w*)", 1).alias("stated_digest"),
         "payload_bytes",
         "payload_digest",
         "payload",

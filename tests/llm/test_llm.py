@@ -367,3 +367,10 @@ def test_quality_collects_copies_once(spark, monkeypatch):
     model = quality.fit(docs, labels, F.lit(True))
     assert max(counts) <= 20
     assert np.array_equal(model.weight, once.weight) and model.bias == once.bias
+
+
+def test_warc_urls_with_brackets_and_line_separators(spark):
+    urls = {1: "http://x/?a>b", 2: "<http://y/>", 3: "u\u2028WARC-Refers-To: <urn:page:7>", 4: "u\u0085WARC-Type: revisit", 5: "u\u2029v"}
+    pages = spark.createDataFrame([(i, u, f"html {i}") for i, u in urls.items()], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["url"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    assert got == {i: (u, "response", None) for i, u in urls.items()}
