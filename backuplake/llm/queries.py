@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backuplake.llm import license_scan
+from backuplake.llm import license_scan, repetition
 from backuplake.sources.bindings import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,6 +153,16 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+@query
+def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document is repeated n-grams and lines, and whether that is too much."""
+    counts = repetition.measure(read(spark, sf_dir, "documents"))
+    return counts.select("doc_id", *repetition.COUNTS, "base_failed", "kept")
+
+
+ORACLES["op12_repetition"] = repetition.oracle()
+
+
 _LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> {s}) & 31 AS BIGINT) + 1, 1)"
 ORACLES["op9_warc"] = f"""
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, octet_length(encode(coalesce(html, ''))) AS n,
