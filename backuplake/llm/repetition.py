@@ -200,15 +200,19 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     """The same measures in SQL."""
-    grams = ", ".join(f"({n}, {limit})" for n, limit in [(BASE_GRAM, 100), *GRAM_LIMITS.items()])
+    leads = ", ".join(f"lead(word, {i}) OVER o AS w{i}" for i in range(1, max(GRAM_LIMITS)))
+    grams = " UNION ALL ".join(
+        f"SELECT r, {n} AS n, {limit} AS lim, i, concat_ws(' ', word, {', '.join(f'w{i}' for i in range(1, n))}) AS gram FROM e WHERE w{n - 1} IS NOT NULL"
+        for n, limit in [(BASE_GRAM, 100), *GRAM_LIMITS.items()]
+    )
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
      w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
      s AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
-     g AS (SELECT r, n, lim, i, array_to_string(ws[i : i + n - 1], ' ') AS gram
-           FROM (SELECT r, ws, n, lim, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (VALUES {grams}) v(n, lim))),
-     t AS (SELECT r, n, lim, list(i) AS at, min(i) AS first FROM g GROUP BY r, n, lim, gram HAVING count(*) > 1),
-     k AS (SELECT r, n, lim, first, unnest(at) AS i FROM t),
+     e AS (SELECT *, {leads} FROM s WINDOW o AS (PARTITION BY r ORDER BY i)),
+     g AS ({grams}),
+     t AS (SELECT r, n, lim, list(i) AS starts, min(i) AS first FROM g GROUP BY r, n, lim, gram HAVING count(*) > 1),
+     k AS (SELECT r, n, lim, first, unnest(starts) AS i FROM t),
      p AS (SELECT r, n, lim, unnest(range(i, i + n)) AS i FROM k WHERE n = {BASE_GRAM} OR i > first),
      c AS (SELECT r, n, lim, count(*) AS covered, sum(length(word)) AS chars
            FROM (SELECT DISTINCT * FROM p) JOIN s USING (r, i) GROUP BY r, n, lim),
