@@ -153,6 +153,32 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+@query
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item, by weighted terms."""
+    from backuplake.llm import lexical
+
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_lexical"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+             lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ts FROM documents WHERE text IS NOT NULL),
+     b AS (SELECT item_id, unnest(list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+             lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS t FROM benchmark WHERE text IS NOT NULL),
+     q AS (SELECT item_id, t, count(*) AS reps FROM b GROUP BY ALL),
+     n AS (SELECT count(*) AS n, CAST(sum(len(ts)) AS BIGINT) AS l FROM d WHERE len(ts) > 0),
+     f AS (SELECT r, doc_id, size, t, count(*) AS tf FROM (SELECT r, doc_id, len(ts) AS size, unnest(ts) AS t FROM d)
+           WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+     w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * n.n + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+           FROM (SELECT t, count(*) AS df FROM f GROUP BY t), n),
+     s AS (SELECT item_id, doc_id, r, CAST(sum(reps * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * size * n.n) // n.l)))) AS BIGINT) AS score
+           FROM f JOIN w USING (t) JOIN q USING (t), n GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
 @query
 def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document is repeated n-grams and lines, and whether that is too much."""
