@@ -6,11 +6,12 @@ so documents are read once into short rows (place of a term, occurrences), writt
 documents with a term, terms in all, documents per term. Each task then gathers its rows into blocks of
 bounded size and grows a ball tree over each: a ball holds the vectors below it by centroid and radius, and
 is split between two vectors far apart. By Cauchy and Schwarz no vector of a ball scores more than
-<query, centroid> + |query| radius; the same holds within each group of terms, and the sum of those bounds
-holds too, so the smaller of both counts. Bounds are raised by more than floating-point arithmetic can have
-lost, vectors are scaled by the root of a term's weight on both sides (the product stays the same), and an
-item walks the balls of a block from the highest bound down until no bound reaches its tenth-best score.
-Leaves are scored in whole numbers, so ranks are exact whatever the tree looks like.
+<query, centroid> + |query| radius; nor, term by term, more than centroid plus one-sided radius of each term
+(that is, its greatest value) allows, which is exact in whole numbers and by far the tighter of the two. The
+smaller counts. The first is raised by more than floating-point arithmetic can have lost; vectors are scaled by
+the root of a term's weight on both sides for it (the product stays the same). An item walks the balls of a block
+from the highest bound down until no bound reaches its tenth-best score. Leaves are scored in whole numbers, so
+ranks are exact whatever the tree looks like.
 
 Tenth-best scores start from a first search of at most `SEED_DOCS` documents (those with the smallest digests
 of their ids) and rise from block to block of a task. A task gives at most `k` rows per item.
@@ -44,8 +45,9 @@ from backuplake.session import pin
 ITEM_TERMS = 20_000
 #: Documents and entries of one tree, and numbers in its centroids.
 BLOCK_DOCS, BLOCK_ENTRIES, BLOCK_NUMBERS = 8192, 2_000_000, 1 << 24
-LEAF = 24
-GROUPS = 96
+LEAF = 8
+#: Leaves scored at a time.
+LEAVES = 16
 SEED_DOCS = 8192
 
 _OTHER = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -86,11 +88,6 @@ class Queries:
         # Divided by the scale that documents are multiplied with.
         self.bent = [value / self.scale[at] for at, value in self.exact]
         self.norms = [float(np.sqrt((b * b).sum())) * (1 + 8 * EPS * (len(b) + 8)) for b in self.bent]
-        self.group = (np.arange(len(weights)) * 0x9E3779B1 % (1 << 32)) % GROUPS
-        self.by_group = np.zeros((len(vectors), GROUPS))
-        for row, (at, _), b in zip(self.by_group, self.exact, self.bent):
-            np.add.at(row, self.group[at], b * b)
-        self.by_group = np.sqrt(self.by_group) * (1 + 8 * EPS * (len(weights) + 8))
 
 
 class Block:
@@ -106,46 +103,56 @@ class Block:
         at = np.repeat(self.starts[rows] - starts, sizes) + np.arange(sizes.sum())
         return Block(self.ids[rows], starts, self.place[at], self.value[at])
 
-    def scores(self, weights: np.ndarray, first: int, end: int) -> np.ndarray:
-        """Whole-number products of rows [first, end) with dense weights; every row has an entry."""
-        a = self.starts[first]
-        b = self.starts[end] if end < len(self.starts) else len(self.place)
-        return np.add.reduceat(self.value[a:b] * weights[self.place[a:b]], self.starts[first:end] - a)
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """Whole-number products of all rows with dense weights; every row has an entry."""
+        return np.add.reduceat(self.value * weights[self.place], self.starts)
 
 
 class Tree:
     """Balls over the rows of a block, which is sorted so that each ball is a run of rows."""
 
     def __init__(self, block: Block, queries: Queries):
-        self.queries = queries
-        self.dims = len(queries.weights)
+        self.queries, self.dims = queries, len(queries.weights)
         order, self.nodes = self._split(block, block.value * queries.scale[block.place])
         self.block = block.take(order)
-        self.bent = self.block.value * queries.scale[self.block.place]
-        self.centres = np.zeros((len(self.nodes), self.dims), np.float64)
+        bent = self.block.value * queries.scale[self.block.place]
+        shape = (len(self.nodes), self.dims)
+        #: Per node and term: the greatest value (centroid and one-sided radius of that term together), and the
+        #: centroid, which 32-bit numbers round by less than one part in 2**23.
+        self.ceiling, self.centre = np.zeros(shape, np.int32), np.zeros(shape, np.float32)
         self.radius = np.zeros(len(self.nodes))
-        self.radii = np.zeros((len(self.nodes), GROUPS))
-        owner = np.repeat(np.arange(len(self.block.ids)), self.block.sizes)
-        for i, (first, end, _) in enumerate(self.nodes):
+        leaf_of = np.empty(len(order), np.int64)
+        for i, (first, end, children) in enumerate(self.nodes):
+            if not children:
+                leaf_of[first:end] = i
+        at = np.repeat(leaf_of, self.block.sizes) * self.dims + self.block.place
+        np.maximum.at(self.ceiling.reshape(-1), at, self.block.value.astype(np.int32))
+        for i in range(len(self.nodes) - 1, -1, -1):
+            first, end, children = self.nodes[i]
+            if children:
+                np.maximum(*self.ceiling[list(children)], out=self.ceiling[i])
             a = self.block.starts[first]
             b = self.block.starts[end] if end < len(self.block.starts) else len(self.block.place)
-            self._ball(i, self.block.place[a:b], self.bent[a:b], owner[a:b] - first, end - first)
-
-    def _ball(self, i: int, place: np.ndarray, value: np.ndarray, owner: np.ndarray, count: int) -> None:
-        """Centroid and radii of a node, the radii safe upper bounds."""
-        centre = np.bincount(place, value, self.dims) / count
-        self.centres[i] = centre
-        # Per group: |x - c|^2 = |c|^2 + sum over own places of (x - c)^2 - c^2.
-        whole = np.bincount(self.queries.group, centre * centre, GROUPS)
-        near = centre[place]
-        diff = (value - near) ** 2 - near * near
-        cell = owner * GROUPS + self.queries.group[place]
-        square = np.bincount(cell, diff, count * GROUPS).reshape(count, GROUPS) + whole
-        size = np.bincount(cell, value * value + 2 * near * near, count * GROUPS).reshape(count, GROUPS) + whole
-        lost = 8 * EPS * (self.dims + 16) * size
-        square = np.maximum(square, 0) + lost
-        self.radii[i] = np.sqrt(square.max(axis=0)) * (1 + 8 * EPS)
-        self.radius[i] = math.sqrt(square.sum(axis=1).max()) * (1 + 8 * EPS * (GROUPS + 8))
+            self._ball(i, self.block.place[a:b], bent[a:b], self.block.starts[first:end] - a)
+        self.below = [self._below(i) for i in range(len(self.nodes))]
+
+    def _ball(self, i: int, place: np.ndarray, value: np.ndarray, starts: np.ndarray) -> None:
+        """Centroid and radius of a node, the radius a safe upper bound."""
+        centre = (np.bincount(place, value, self.dims) / len(starts)).astype(np.float32)
+        self.centre[i] = centre
+        # |x - c|^2 = |c|^2 + sum over own places of (x - c)^2 - c^2.
+        near = centre[place].astype(np.float64)
+        whole = float(np.dot(centre.astype(np.float64), centre))
+        square = whole + np.add.reduceat((value - near) ** 2 - near * near, starts)
+        lost = 8 * EPS * (self.dims + 16) * (whole + np.add.reduceat(value * value + 2 * near * near, starts))
+        self.radius[i] = math.sqrt((np.maximum(square, 0) + lost).max()) * (1 + 8 * EPS)
+
+    def _below(self, i: int, levels: int = 3) -> np.ndarray:
+        """The balls so many levels below a node, or the leaves met before."""
+        row = [i]
+        for _ in range(levels):
+            row = [k for n in row for k in (self.nodes[n][2] or (n,))]
+        return np.array(row)
 
     def _split(self, block: Block, value: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, tuple[int, int] | None]]]:
         """Row order and nodes (first, end, children), the root first.
@@ -191,13 +198,15 @@ class Tree:
             nodes += [None, None]
         return order, nodes
 
-    def bounds(self, q: int, nodes: list[int]) -> np.ndarray:
-        """No row of these nodes scores more for query q."""
-        at, bent = self.queries.exact[q][0], self.queries.bent[q]
-        inner = self.centres[nodes][:, at] @ bent
-        grouped = self.radii[nodes] @ self.queries.by_group[q]
-        reach = np.minimum(self.queries.norms[q] * self.radius[nodes], grouped)
-        return (inner + reach) * (1 + 16 * EPS * (len(at) + GROUPS + 16))
+    def bounds(self, q: int, nodes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes that may hold a row scoring `least` or more for query q, and what no row of each exceeds."""
+        at, value = self.queries.exact[q]
+        top = self.ceiling[nodes[:, None], at] @ value
+        nodes, top = nodes[top >= least], top[top >= least]
+        inner = self.centre[nodes[:, None], at].astype(np.float64) @ self.queries.bent[q] * (1 + 2.0**-22)
+        reach = (inner + self.queries.norms[q] * self.radius[nodes]) * (1 + 16 * EPS * (len(at) + 16))
+        bound = np.minimum(top, np.ceil(reach)).astype(np.int64)
+        return nodes[bound >= least], bound[bound >= least]
 
     def search(self, q: int, best: list[tuple[int, int]], k: int, floor: int, visited: list[int]) -> None:
         """Adds this block's rows to the heap `best` of (score, -doc_id); rows under `floor` are of no use."""
@@ -206,30 +215,35 @@ class Tree:
             return
         weights = np.zeros(self.dims, np.int64)
         weights[at] = value
-        queue = [(-self.bounds(q, [0])[0], 0)]
+        least = max(floor, best[0][0] if len(best) == k else 1)
+        queue = [(-int(b), int(n)) for n, b in zip(*self.bounds(q, np.array([0]), least))]
         while queue:
-            bound, i = heapq.heappop(queue)
-            least = max(floor, best[0][0] if len(best) == k else 1)
-            if -bound < least:
+            leaves = []
+            while queue and -queue[0][0] >= least and len(leaves) < LEAVES:
+                i = heapq.heappop(queue)[1]
+                if self.nodes[i][2]:
+                    for n, b in zip(*self.bounds(q, self.below[i], least)):
+                        heapq.heappush(queue, (-int(b), int(n)))
+                else:
+                    leaves.append(i)
+            if not leaves:
                 return
-            first, end, children = self.nodes[i]
-            if children:
-                for child, reach in zip(children, self.bounds(q, list(children))):
-                    if reach >= least:
-                        heapq.heappush(queue, (-reach, child))
-                continue
-            visited[0] += end - first
-            scores = self.block.scores(weights, first, end)
+            rows = np.concatenate([np.arange(*self.nodes[i][:2]) for i in leaves])
+            visited[0] += len(rows)
+            part = self.block.take(rows)
+            scores = part.scores(weights)
             for row in np.flatnonzero(scores >= least):
-                entry = (int(scores[row]), -int(self.block.ids[first + row]))
+                entry = (int(scores[row]), -int(part.ids[row]))
                 if len(best) < k:
                     heapq.heappush(best, entry)
                 elif entry > best[0]:
                     heapq.heapreplace(best, entry)
+            least = max(floor, best[0][0] if len(best) == k else 1)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], count: int, total: int, dims: int) -> Iterator[Block]:
     """Rows of doc_id, n, places, tfs as blocks of bounded size."""
+    # Most splits are even, so a tree has about four nodes for each `LEAF` rows.
     most = min(BLOCK_DOCS, max(LEAF, BLOCK_NUMBERS * LEAF // (4 * dims)))
     ids, sizes, place, value, entries = [], [], [], [], 0
     for batch in batches:
