@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backuplake.llm import license_scan, repetition
+from backuplake.llm import license_scan, prefix_trie, repetition
 from backuplake.sources.bindings import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,6 +189,15 @@ def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op12_repetition"] = repetition.oracle()
 
 
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shared prefix of the rebuilt conversations, and what sharing it saves."""
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_prefix_trie"] = prefix_trie.ORACLE
+
+
 _LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> {s}) & 31 AS BIGINT) + 1, 1)"
 ORACLES["op9_warc"] = f"""
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, octet_length(encode(coalesce(html, ''))) AS n,
