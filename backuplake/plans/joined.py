@@ -96,13 +96,15 @@ def jn_05(spark, d):
     return plan.select("restore_id", "backup_id", "path", "pos", "chunk_id")
 
 
-_STATE = """(SELECT device_id, path, arg_max(checksum, (created_at, snapshot_id)) AS checksum FROM snapshots WHERE {} GROUP BY ALL)"""
+# The newest row per device and path, however old, unless that is a deletion.
+_STATE = """(SELECT * FROM (SELECT device_id, path, arg_max({{'c': checksum, 'd': is_deleted}}, (created_at, snapshot_id)) AS s
+      FROM snapshots WHERE {} GROUP BY ALL) WHERE NOT s.d)"""
 _DIFF = f"""SELECT coalesce(a.device_id, n.device_id) AS device_id, coalesce(a.path, n.path) AS path,
-    a.checksum AS old_checksum, n.checksum AS new_checksum,
-    CASE WHEN a.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'deleted' WHEN a.checksum = n.checksum THEN 'unchanged'
+    a.s.c AS old_checksum, n.s.c AS new_checksum,
+    CASE WHEN a.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'deleted' WHEN a.s.c = n.s.c THEN 'unchanged'
          ELSE 'modified' END AS change
     FROM {_STATE.format("created_at < TIMESTAMP '1999-01-01'")} a
-    FULL JOIN {_STATE.format("created_at >= TIMESTAMP '1998-01-01'")} n ON a.device_id = n.device_id AND a.path = n.path"""
+    FULL JOIN {_STATE.format("true")} n ON a.device_id = n.device_id AND a.path = n.path"""
 
 
 def _diff(spark, d):
@@ -481,8 +483,8 @@ def agg_21(spark, d):
     "agg_22_file_set_features",
     f"""WITH df AS ({_DIFF}), s AS (SELECT device_id, count(DISTINCT regexp_extract(path, '\\.([^.]*)$', 1))::DOUBLE / count(*) AS file_type_diversity,
           avg(size) AS average_file_size FROM snapshots GROUP BY 1),
-        r AS (SELECT device_id, count(*) FILTER (change = 'modified')::DOUBLE / count(*) FILTER (change <> 'deleted') AS modified_files_ratio,
-          count(*) FILTER (change = 'new')::DOUBLE / count(*) FILTER (change <> 'deleted') AS new_files_ratio FROM df GROUP BY 1)
+        r AS (SELECT device_id, count(*) FILTER (change = 'modified')::DOUBLE / nullif(count(*) FILTER (change <> 'deleted'), 0) AS modified_files_ratio,
+          count(*) FILTER (change = 'new')::DOUBLE / nullif(count(*) FILTER (change <> 'deleted'), 0) AS new_files_ratio FROM df GROUP BY 1)
         SELECT device_id, file_type_diversity, average_file_size, modified_files_ratio, new_files_ratio FROM s LEFT JOIN r USING (device_id)""",
     "snapshots",
 )
