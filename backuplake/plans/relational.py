@@ -10,7 +10,7 @@ from backuplake.operators import filters, projections, sorting, windows
 from backuplake.plans.registry import query
 from backuplake.session import shared_path
 from backuplake.sources import bindings as b
-from backuplake.sources import readers, sinks
+from backuplake.sources import readers, sinks, tree
 
 # --- sources -----------------------------------------------------------------------------------
 
@@ -128,6 +128,30 @@ def src_05(spark, d):
     return listed.groupBy(folder.alias("parent_path")).agg((F.sum("size") > 0).alias("listed"))
 
 
+@query(
+    "src_05_directory_tree",
+    """WITH f AS (SELECT '/source=' || coalesce(source, 'none') AS up, '/lang=' || coalesce(lang, 'none') AS down,
+                         octet_length(encode(coalesce(text, ''))) + 1 AS n FROM documents)
+       SELECT up || down AS path, TRUE AS is_directory, CAST(sum(n) AS BIGINT) AS bytes, TRUE AS owner_reads FROM f GROUP BY ALL
+       UNION ALL SELECT DISTINCT up, TRUE, 0, TRUE FROM f
+       UNION ALL SELECT '/_SUCCESS', FALSE, 0, TRUE""",
+)
+def src_05t(spark, d):
+    """Folders with the bytes of their files, and empty files, from a scan of a tree of text files."""
+    root = shared_path(spark, "tree")
+    labels = [F.coalesce(c, F.lit("none")).alias(c) for c in ("source", "lang")]
+    b.read(spark, d, "documents").select(*labels, "text").write.partitionBy("source", "lang").text(root)
+    found = tree.directory_tree(spark, root).filter(~F.col("name").startswith("."))
+    held = found.filter("NOT is_directory").groupBy(F.col("parent_path").alias("path")).agg(F.sum("size").alias("bytes"))
+    kept = found.filter("is_directory OR size = 0").join(held, "path", "left")
+    return kept.select(
+        F.regexp_extract("path", r"/tree-[0-9a-f]{32}(/.*)$", 1).alias("path"),
+        "is_directory",
+        F.coalesce("bytes", F.lit(0)).alias("bytes"),
+        F.col("permissions").startswith("r").alias("owner_reads"),
+    )
+
+
 @query(
     "src_06_key_registry",
     """SELECT device_id AS "deviceId", count(*) AS n, max(created_ms) AS newest FROM (
