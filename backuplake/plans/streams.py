@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from backuplake.functions import features
 from backuplake.ml import scoring
+from backuplake.operators import windows
 from backuplake.operators.windows import latest_by
 from backuplake.plans.joined import WINDOW_SQL
 from backuplake.plans.ordered_work import QUOTA_LIMIT, QUOTA_SQL
 from backuplake.plans.registry import query
 from backuplake.session import shared_path
 from backuplake.sources import bindings as b
-from backuplake.sources import readers, sinks
+from backuplake.sources import committed, readers, sinks
 from backuplake.streaming import events as se
 from backuplake.streaming import stateful
 from backuplake.streaming.run import run_to_end
@@ -203,6 +204,67 @@ def str_11(spark, d):
     )
 
 
+# Two jobs of three plan the files that are done; every third plans all, and so never ends.
+_PLANNED = "(l_returnflag <> 'R' OR l_suppkey % 3 = 0)"
+
+
+@query(
+    "str_11_progress_until_done",
+    f"""WITH j AS (SELECT l_suppkey AS job_id, count(*) FILTER (l_returnflag <> 'R') AS processed_files, count(*) AS total_files,
+               sum(CAST(round(l_extendedprice * 100) AS BIGINT)) FILTER (l_returnflag <> 'R') AS done, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS total
+             FROM lineitem WHERE {_PLANNED} GROUP BY 1)
+       SELECT job_id, processed_files, total_files, CASE WHEN processed_files = total_files THEN 100 ELSE least(99, CAST(done * 100 // total AS BIGINT)) END AS progress
+       FROM j WHERE processed_files > 0""",
+)
+def str_11_done(spark, d):
+    """The last report of every job, from a plan and a stream that names every finished file twice."""
+    size = b.cents("l_extendedprice").alias("size")
+    name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("file_id")
+    planned = b.read(spark, d, "lineitem").filter(_PLANNED).select(F.col("l_suppkey").alias("job_id"), size)
+    plan = planned.groupBy("job_id").agg(F.count(F.lit(1)).alias("total_files"), F.sum("size").alias("total_bytes"))
+    done = _stream(spark, d, "lineitem").filter("l_returnflag <> 'R'").select(F.col("l_suppkey").alias("job_id"), name, size)
+    path = shared_path(spark, "progress")
+    reports = stateful.progress_until_done(done.unionByName(done), plan)
+    run_to_end(reports, "str11done", mode="update", sink=sinks.batch_writer(path))
+    return latest_by(spark.read.parquet(path), ["job_id"], ["batch_id"]).select("job_id", "processed_files", "total_files", "progress")
+
+
+@query(
+    "snk_01_committed_batches",
+    "SELECT tenant_id, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM ev GROUP BY ALL",
+    "ev",
+)
+def snk_01_committed(spark, d):
+    """A stream through the committing sink, and a batch tried twice beside it."""
+    root, check = shared_path(spark, "committed"), shared_path(spark, "check")
+    small = F.col("size") < 10_000
+    cols = ["event_id", "tenant_id", "size"]
+    committed.stream_to_end(_events(spark, d).filter(small).select(*cols), root, "small", check)
+    large = b.events(spark, d).filter(~small).select(*cols)
+    for _ in range(2):
+        committed.append(large, root, "large", 0)
+    rows = committed.read(spark, root, "event_id bigint, tenant_id bigint, size bigint")
+    return rows.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+
+
+@query(
+    "snk_05_committed_alerts",
+    f"""SELECT event_id AS id, size AS amount, 'anomaly' AS alert_kind FROM ev WHERE size > 20000
+        UNION ALL SELECT request_id, used_after, 'quota' FROM ({QUOTA_SQL}) WHERE warned""",
+    "ev requests",
+)
+def snk_05_committed(spark, d):
+    """Anomalies of a stream and quota warnings, the warnings tried twice."""
+    root, check = shared_path(spark, "alerts"), shared_path(spark, "check")
+    large = _events(spark, d).filter("size > 20000").select(F.col("event_id").alias("id"), F.col("size").alias("amount"))
+    committed.stream_to_end(large, root, "anomaly", check)
+    usage = windows.consume_quota(b.quota_requests(spark, d), default_limit=QUOTA_LIMIT)
+    warned = usage.filter("warned").select(F.col("request_id").alias("id"), F.col("used_after").alias("amount"))
+    for _ in range(2):
+        committed.append(warned, root, "quota", 0)
+    return committed.read(spark, root, "id bigint, amount bigint").select("id", "amount", F.col("log").alias("alert_kind"))
+
+
 @query("str_12_chunk_dedup", "SELECT DISTINCT l_partkey AS digest FROM lineitem")
 def str_12(spark, d):
     """The index after the last batch."""

@@ -6,7 +6,8 @@
 Tasks write Parquet files of their own names below `root`/files, in any number of tries; nothing there counts yet. The
 commit, on the driver, puts the names of one try's files into `root`/commits/<log>.<batch>.json, complete and only
 if that file is not there: a batch that is committed stays as it is, and files of lost or repeated tries are in no
-commit. Readers take the rows of committed files only. `log` names the stream, so several can share a root.
+commit. Readers take the rows of committed files only. `log` names the stream, so several can share a root; batch
+numbers count from a stream's checkpoint, so a stream that starts on a new checkpoint needs a new name.
 
 `root` must be reachable from every executor: a plain path, `file:`, or a store that Arrow knows. On local file
 systems the commit is a hard link, which the system refuses if the name is taken; elsewhere it is written aside and moved

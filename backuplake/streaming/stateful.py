@@ -65,6 +65,89 @@ def stale_devices(heartbeats: DataFrame, seconds: int = 30, delay: str = "10 sec
     )
 
 
+class Progress(StatefulProcessor):
+    """Counts a job's finished files against its plan, each file once, until all are done.
+
+    The files seen are kept in a map of `buckets` lists, so a trigger reads and writes only the lists
+    its files fall in. With the last file all state of the job goes; without it, after `ttl_ms`, if that is given.
+    """
+
+    def __init__(self, buckets: int, ttl_ms: int | None):
+        self.buckets, self.ttl_ms = buckets, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pair = "files bigint, bytes bigint"
+        self.plan = handle.getValueState("plan", pair, self.ttl_ms)
+        self.done = handle.getValueState("done", pair, self.ttl_ms)
+        self.seen = handle.getMapState("seen", "bucket int", "files array<string>", self.ttl_ms)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        self.plan.update((int(row["total_files"]), int(row["total_bytes"])))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if not self.plan.exists():
+            # Not planned, or finished.
+            return
+        total_files, total_bytes = self.plan.get()
+        files, size = self.done.get() if self.done.exists() else (0, 0)
+        before = files
+        for pdf in rows:
+            for bucket, part in pdf.drop_duplicates("file_id").groupby("bucket"):
+                held = list(self.seen.getValue((int(bucket),))[0]) if self.seen.containsKey((int(bucket),)) else []
+                fresh = part[~part["file_id"].isin(set(held))]
+                if len(fresh):
+                    self.seen.updateValue((int(bucket),), (held + fresh["file_id"].tolist(),))
+                    files, size = files + len(fresh), size + int(fresh["size"].sum())
+        if files == before:
+            return
+        percent = 100 if files >= total_files else min(99, size * 100 // total_bytes if total_bytes else 0)
+        if percent == 100:
+            for state in (self.plan, self.done, self.seen):
+                state.clear()
+        else:
+            self.done.update((files, size))
+        yield pd.DataFrame(
+            {
+                "job_id": [key[0]], "processed_files": [files], "total_files": [total_files],
+                "processed_bytes": [size], "total_bytes": [total_bytes], "progress": [percent],
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def progress_until_done(files: DataFrame, plan: DataFrame, buckets: int = 64, ttl: str | None = None) -> DataFrame:
+    """A report per trigger of each job that came further, the last one at 100; then nothing is kept of the job.
+
+    `files`: job_id, file_id, size of finished files, in any order and any number of times; a null id is a file,
+    a null size is 0. `plan`: job_id, total_files, total_bytes, one row per job; it starts the state, and jobs
+    without a plan are not reported. Percent is of bytes, rounded down, and 100 only with the last file. Jobs
+    that nothing is heard of lose their state after `ttl` (as "30 days") of processing time. With a `ttl` Spark goes on
+    making batches without rows, so a stream over available input then needs
+    `spark.sql.streaming.noDataMicroBatches.enabled` off to end. A job's files of one trigger are read by one
+    task, in batches.
+    """
+    use_rocksdb(files.sparkSession)
+    kind = files.schema["job_id"].dataType.simpleString()
+    rows = files.select(
+        "job_id",
+        F.coalesce(F.col("file_id").cast("string"), F.lit("")).alias("file_id"),
+        F.coalesce(F.col("size"), F.lit(0)).cast("bigint").alias("size"),
+        F.pmod(F.xxhash64("file_id"), F.lit(buckets)).cast("int").alias("bucket"),
+    )
+    ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
+    start = plan.select("job_id", F.col("total_files").cast("bigint"), F.col("total_bytes").cast("bigint"))
+    return rows.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=Progress(buckets, ms),
+        outputStructType=f"job_id {kind}, processed_files bigint, total_files bigint, processed_bytes bigint, total_bytes bigint, progress bigint",
+        outputMode="Update",
+        timeMode="ProcessingTime" if ttl else "None",
+        initialState=start.groupBy("job_id"),
+    )
+
+
 def admission_writer(
     path: str, limits: DataFrame | None = None, default_limit: int = 1 << 30, warn_share: float = 0.8
 ) -> Callable[[DataFrame, int], None]:

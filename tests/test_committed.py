@@ -1,5 +1,7 @@
 """The committing sink: replays, lost tries, streams that stop and go on."""
 
+import pathlib
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -60,10 +62,16 @@ def test_a_stream_that_stops_goes_on(spark):
     spark.range(50, 80).withColumn("kind", F.lit("b")).repartition(3).write.mode("append").parquet(source)
     go()
     assert [i for i, *_ in rows_of(spark, root)] == list(range(80))
-    # A new checkpoint starts from batch 0 again: those batches are there already.
-    check = shared_path(spark, "check")
     go()
     assert [i for i, *_ in rows_of(spark, root)] == list(range(80))
+    # The checkpoint forgets its last commit, as if the driver had died before it was noted.
+    local = pathlib.Path(check.removeprefix("file:"))
+    last = max((local / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    go()
+    assert [i for i, *_ in rows_of(spark, root)] == list(range(80))
+    assert committed.orphans(spark, root).count() == 1
 
 
 def test_wrong_use(spark):
