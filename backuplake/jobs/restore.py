@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from backuplake.functions.features import digest
 from backuplake.jobs.chunking import reassemble
 from backuplake.operators.aggregates import synthetic_ratios
+from backuplake.operators.asof import latest_before
 from backuplake.operators.joins import file_chunks, restore_plan
 from backuplake.operators.windows import latest_state
 from backuplake.session import pin
@@ -62,6 +63,20 @@ def restore(
     return joined.withColumn("status", status).select(*keys, "data", "status")
 
 
+def versions_at(requests: DataFrame, snapshots: DataFrame, keys: Sequence[str], at: str = "at") -> DataFrame:
+    """Each request with the version it restores, at a time of its own: snapshot_id, checksum and `status`.
+
+    `snapshots`: the keys, ts, snapshot_id, checksum, is_deleted. The newest version up to the request's time counts
+    (of versions of one time the one with the greatest id, checksum, deletion); RESTORABLE, DELETED if it is a deletion,
+    NOT_YET if there is none. Any number of times per file, in one pass.
+    """
+    rows = snapshots.withColumn("_tie", F.struct("snapshot_id", "checksum", "is_deleted"))
+    found = latest_before(requests, rows, keys, at, "ts", "_tie", ["snapshot_id", "checksum", "is_deleted"])
+    status = F.when(F.col("snapshot_id").isNull(), "NOT_YET").when(F.coalesce("is_deleted", F.lit(False)), "DELETED").otherwise("RESTORABLE")
+    live = [F.when(F.col("status") == "RESTORABLE", F.col(c)).alias(c) for c in ("snapshot_id", "checksum")]
+    return found.withColumn("status", status).select(*requests.columns, *live, "status")
+
+
 def audit(rows: DataFrame, checksum: str = "checksum", data: str = "data") -> DataFrame:
     """Adds `is_corrupt`: the stored digest does not match the data."""
     return rows.withColumn("is_corrupt", ~digest(F.col(data)).eqNullSafe(F.col(checksum)))

@@ -290,6 +290,24 @@ def job_16(spark, d):
     return out.select("backup_id", "path", "status")
 
 
+@query(
+    "job_16_restore_times",
+    """WITH v AS (SELECT device_id, path, created_at AS ts, max({'id': snapshot_id, 'c': checksum, 'd': is_deleted}) AS s FROM snapshots GROUP BY ALL),
+       q AS (SELECT DISTINCT device_id, path, created_at + to_days(CAST(job_id % 400 - 100 AS INTEGER)) AS "at" FROM snapshots)
+       SELECT q.device_id, q.path, q."at", CASE WHEN NOT v.s.d THEN v.s.c END AS checksum,
+         CASE WHEN v.s IS NULL THEN 'NOT_YET' WHEN v.s.d THEN 'DELETED' ELSE 'RESTORABLE' END AS status
+       FROM q ASOF LEFT JOIN v ON v.device_id = q.device_id AND v.path = q.path AND q."at" >= v.ts""",
+    "snapshots",
+)
+def job_16_times(spark, d):
+    """Every file of every device at times around its own snapshots, each request with a time of its own."""
+    rows = b.snapshots(spark, d)
+    at = F.col("created_at") + F.make_interval(days=(F.col("job_id") % 400 - 100).cast("int"))
+    requests = rows.select("device_id", "path", at.alias("at")).distinct()
+    out = restore.versions_at(requests, rows.withColumnRenamed("created_at", "ts"), ["device_id", "path"])
+    return out.select("device_id", "path", "at", "checksum", "status")
+
+
 @query(
     "job_17_state_replay",
     """SELECT job_id, list_reduce(list(command ORDER BY ts, event_id), lambda s, c: CASE

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from backuplake.operators import aggregates as agg
-from backuplake.operators import filters, joins, sets
+from backuplake.operators import filters, joins, merkle, sets
 from backuplake.plans.registry import query
 from backuplake.sources import bindings as b
 
@@ -119,6 +119,14 @@ def jn_06(spark, d):
     return _diff(spark, d)
 
 
+@query("jn_06_merkle_diff", _DIFF, "snapshots")
+def jn_06_merkle(spark, d):
+    """The same diff by digests of folders: equal subtrees are not joined."""
+    keys, rows = ["device_id"], b.snapshots(spark, d)
+    old, new = (merkle.digested(joins.state_as_of(rows, [*keys, "path"], at), keys) for at in ("1999-01-01", None))
+    return merkle.compare(old, new).changes
+
+
 @query(
     "jn_07_lineage",
     """WITH RECURSIVE up(snapshot_id, base_id, depth) AS (

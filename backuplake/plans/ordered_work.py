@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from backuplake.operators import sets, windows
+from backuplake.operators import replicated, sets, windows
 from backuplake.plans.registry import query
+from backuplake.session import pin
 from backuplake.sources import bindings as b
 
 _VERSION_COLUMNS = ["path", "device_id", "version", "chunk_id", "backup_time", "is_deleted"]
@@ -167,3 +168,42 @@ def set_02(spark, d):
     state = windows.lww_register(rows.filter(~F.col("is_deleted")).select("path", "version", "timestamp", "node_id"))
     tombs = rows.filter("is_deleted").select("path", F.col("timestamp").alias("deleted_at"))
     return sets.drop_deleted(state, tombs, ["path"])
+
+
+# Three replicas; each sees what the others did when a year begins. A removal takes the additions it has seen.
+_OPERATIONS = """o AS (SELECT device_id % 3 AS actor, path AS element, is_deleted, year(created_at) AS y,
+         row_number() OVER (PARTITION BY device_id % 3 ORDER BY created_at, snapshot_id, path, is_deleted) AS counter FROM snapshots),
+       c AS (SELECT ys.y, a.actor, count(*) FILTER (o.y < ys.y) AS n FROM (SELECT DISTINCT y FROM o) ys, (SELECT DISTINCT actor FROM o) a
+             JOIN o ON o.actor = a.actor GROUP BY ALL),
+       r AS (SELECT o.element, c.actor, max(CASE WHEN c.actor = o.actor THEN o.counter - 1 ELSE c.n END) AS bound
+             FROM o JOIN c ON c.y = o.y WHERE o.is_deleted GROUP BY ALL)"""
+
+
+@query(
+    "set_02_observed_remove",
+    f"""WITH {_OPERATIONS}
+       SELECT o.element, count(*) AS additions FROM o LEFT JOIN r ON r.element = o.element AND r.actor = o.actor
+       WHERE NOT o.is_deleted AND (bound IS NULL OR counter > bound) GROUP BY o.element""",
+    "snapshots",
+)
+def set_02_observed(spark, d):
+    """Three replicas that each know their own operations and what the others did before the last year, merged."""
+    actor, year = F.col("device_id") % 3, F.year("created_at")
+    rows = b.snapshots(spark, d).select(actor.alias("actor"), F.col("path").alias("element"), "is_deleted", "created_at", "snapshot_id", year.alias("y"))
+    numbered = pin(replicated.numbered(rows, ["created_at", "snapshot_id", "element", "is_deleted"]), "operations")
+    per_year = numbered.groupBy("actor", "y").agg(F.count(F.lit(1)).alias("n"))
+    # One row per actor and year from here on, then one per year.
+    years = numbered.select("y").distinct().withColumnRenamed("y", "of")
+    before = per_year.join(years, F.col("y") < F.col("of")).groupBy("of", "actor").agg(F.sum("n").alias("n"))
+    synced = before.groupBy("of").agg(F.map_from_entries(F.collect_list(F.struct("actor", "n"))).alias("others"))
+    joined = numbered.join(F.broadcast(synced), F.col("y") == F.col("of"), "left")
+    others = F.map_filter(F.coalesce("others", F.create_map().cast("map<bigint,bigint>")), lambda k, _v: k != F.col("actor"))
+    own = F.create_map(F.col("actor").cast("bigint"), F.col("counter") - 1)
+    operations = pin(joined.select("actor", "counter", "element", F.col("is_deleted").alias("is_removal"), "y", F.map_concat(others, own).alias("seen")), "operations")
+    last = operations.agg(F.max("y")).first()[0]
+    states = []
+    for replica in range(3):
+        known = operations.filter((F.col("actor") == replica) | (F.col("y") < last))
+        states.append(replicated.apply(operations, known.groupBy("actor").agg(F.max("counter").alias("counter"))))
+    first = replicated.merge([states[2], states[0]])
+    return replicated.elements(replicated.merge([first, states[1], states[0]]))
