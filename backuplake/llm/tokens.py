@@ -21,13 +21,18 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Units remembered per worker; the table starts again when it is full.
-UNITS = 400_000
+#: Bytes of units and pieces remembered per worker, about, and what an entry takes beside its text and ids; the
+#: tables start again when they are full.
+KNOWN_BYTES, ENTRY_BYTES = 150_000_000, 200
+#: Longer units and pieces are not remembered.
+LONGEST = 256
 
 #: Fixed value: the pre-tokenizer pattern of byte-level BPE files that set `use_regex`.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _PLAIN = regex.compile(r"[\x20-\x7e\n\t\r\xa1-ɏ‐-‧]*")
+#: Marks that stand alone after letters, in both patterns.
+_STOPS = frozenset(".,;:!?")
 _ODD = re.compile(r"<\||[\x00\x1c-\x1f]")
 _TWO_SPACES = re.compile(r"\s\s")
 _INNER = regex.compile(r"(?<=\S)(?= \S)")
@@ -47,7 +52,7 @@ def spelled(piece: str) -> str:
     """A piece's UTF-8 bytes as the letters BPE works on."""
     if piece.isascii() and " " not in piece and piece.isprintable():
         return piece
-    return "".join(_LETTERS[b] for b in piece.encode("utf-8", "surrogatepass"))
+    return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTERS)
 
 
 class Encoder:
@@ -70,6 +75,7 @@ class Encoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.units: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
         self.no_decoder = spec.get("decoder") is None
         model = spec["model"]
         if self.pattern:
@@ -98,23 +104,37 @@ class Encoder:
             return True, split["pattern"]["Regex"]
         return False, None
 
-    def _add(self, new: Sequence[str]) -> None:
-        """Ids of new units. A unit's key is itself without its leading space; those without one are marked."""
-        if len(self.units) + len(new) > UNITS:
+    def _unit(self, key: str) -> bytes:
+        """Ids of a unit. Its key is itself without its leading space; those without one are marked."""
+        by_words, piece = self.by_words, self._piece
+        if key.isalpha() and key.isascii():
+            return piece(key.lower() if by_words else "\u0120" + key)
+        unit = key if by_words or key[:1] == "\n" else key[1:] if key[:1] == "\0" else " " + key
+        if not (key.isascii() or _PLAIN.fullmatch(unit)):
+            return self._packed(self.whole.encode(unit, add_special_tokens=False).ids)
+        if by_words:
+            unit = unit.lower() if key.isascii() else unicodedata.normalize("NFC", unit).lower()
+        if unit[-1:] in _STOPS and key[:-1].isalpha():
+            # Letters and one mark: what the pattern finds, without asking it.
+            return piece(spelled(unit[:-1])) + piece(unit[-1])
+        return b"".join([piece(spelled(p)) for p in self.pattern.findall(unit)])
+
+    def _add(self, new: Sequence[str]) -> dict[str, bytes]:
+        """Ids of new units."""
+        if self.held > KNOWN_BYTES:
             self.units.clear()
             self.pieces.clear()
-        units, piece, by_words = self.units, self._piece, self.by_words
-        for key in new:
-            if key.isalpha() and key.isascii():
-                units[key] = piece(key.lower() if by_words else "\u0120" + key)
-                continue
-            unit = key if by_words or key[:1] == "\n" else key[1:] if key[:1] == "\0" else " " + key
-            if not (key.isascii() or _PLAIN.fullmatch(unit)):
-                units[key] = self._packed(self.whole.encode(unit, add_special_tokens=False).ids)
-                continue
-            if by_words:
-                unit = unit.lower() if key.isascii() else unicodedata.normalize("NFC", unit).lower()
-            units[key] = b"".join([piece(spelled(p)) for p in self.pattern.findall(unit)])
+            self.held = 0
+        unit, pieces = self._unit, len(self.pieces)
+        out = {key: unit(key) for key in new}
+        long = [key for key in new if len(key) > LONGEST]
+        self.units.update(out)
+        for key in long:
+            del self.units[key]
+        text = sum(map(len, out)) + sum(map(len, out.values()))
+        # Pieces are no longer than the units they came from.
+        self.held += text + ENTRY_BYTES * (len(out) + len(self.pieces) - pieces)
+        return out
 
     def _packed(self, ids: Sequence[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -127,7 +147,8 @@ class Encoder:
                 known = self._packed(self.long.encode(letters))
             else:
                 known = self._packed([t.id for t in self.model.tokenize(letters)])
-            self.pieces[letters] = known
+            if len(letters) <= LONGEST:
+                self.pieces[letters] = known
         return known
 
     def _keys(self, text: str) -> list[str]:
@@ -147,10 +168,10 @@ class Encoder:
         rows, new, get = [], {}, self.units.get
 
         def settle() -> None:
-            self._add(list(new))
+            added = self._add(list(new))
             for i, keys, found, holes in rows:
                 for h in holes:
-                    found[h] = self.units[keys[h]]
+                    found[h] = added[keys[h]]
                 out[i] = b"".join(found)
             rows.clear()
             new.clear()
