@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from backuplake.functions import features as fx
 from backuplake.ml import anomaly, isolation_forest, regressors, scoring
 from backuplake.ml import features as mf
+from backuplake.ml.store import ModelStore
 from backuplake.plans.registry import query
 from backuplake.session import pin, shared_path
 from backuplake.sources import bindings as b
@@ -322,3 +323,24 @@ def ml_16(spark, d):
     return both.agg(
         F.count(F.lit(1)).alias("requests"), F.count_if(F.col("first") != F.col("raw_duration")).alias("changed")
     )
+
+
+@query(
+    "ml_16_load_or_train",
+    f"""SELECT 'load_or_train' AS step, 1::BIGINT AS version, count(*) FILTER (request_id % 5 <> 0) AS trained_on, TRUE AS changed FROM training
+        UNION ALL SELECT 'load_again', 1, count(*) FILTER (request_id % 5 <> 0), FALSE FROM training
+        UNION ALL SELECT 'no_drift', 1, count(*) FILTER (request_id % 5 <> 0), FALSE FROM training
+        UNION ALL SELECT 'drift', 2, count(*) FILTER (request_id % 5 <> 0 AND file_count > 200), TRUE FROM training""",
+    "training",
+)
+def ml_16_versions(spark, d):
+    """A first model, the same one loaded, retraining without need, and retraining once large backups take ten times as long."""
+    rows, holdout = pin(_runs(spark, d), "runs"), F.col("request_id") % 5 == 0
+    args = (lambda part: regressors.train_duration(part, trees=5, depth=5), "backup_duration", "raw_duration", holdout)
+    store = ModelStore(spark, shared_path(spark, "models"), "duration")
+    steps = [("load_or_train", store.load_or_train(rows, *args)[1], True), ("load_again", store.load_or_train(rows, *args)[1], False)]
+    kept = store.retrain(rows, *args)
+    slower = rows.filter("file_count > 200").withColumn("backup_duration", F.col("backup_duration") * 10)
+    moved = store.retrain(slower, *args)
+    steps += [("no_drift", kept.version, kept.drifted), ("drift", moved.version, moved.promoted)]
+    return spark.createDataFrame([(s, v.number, v.rows, c) for s, v, c in steps], "step string, version bigint, trained_on bigint, changed boolean")

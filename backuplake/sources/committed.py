@@ -38,6 +38,27 @@ def _store(root: str):
     return fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}")
 
 
+def put_if_absent(store, folder: str, name: str, data: bytes) -> bool:
+    """Writes a small file, complete, unless there is one of that name; False if there is."""
+    from pyarrow import fs
+
+    target, aside = f"{folder}/{name}", f"{folder}-tries/{uuid.uuid4().hex}"
+    for needed in (folder, f"{folder}-tries"):
+        store.create_dir(needed, recursive=True)
+    with store.open_output_stream(aside) as out:
+        out.write(data)
+    if isinstance(store, fs.LocalFileSystem):
+        try:
+            os.link(aside, target)
+        except FileExistsError:
+            return False
+        return True
+    if store.get_file_info(target).type != fs.FileType.NotFound:
+        return False
+    store.move(aside, target)
+    return True
+
+
 @dataclass
 class Written(WriterCommitMessage):
     file: str | None
@@ -74,26 +95,10 @@ class _Files:
 
     def put(self, messages: list[Written | None], batch: int) -> bool:
         """Commits a try; False if the batch is committed already."""
-        from pyarrow import fs
-
         store, top = _store(self.root)
         found = [m for m in messages if m is not None and m.file]
         lines = [json.dumps({"log": self.log, "batch": batch, "file": m.file, "rows": m.rows}) for m in found]
-        target, aside = f"{top}/commits/{self.log}.{batch}.json", f"{top}/tries/{uuid.uuid4().hex}.json"
-        for folder in ("commits", "tries"):
-            store.create_dir(f"{top}/{folder}", recursive=True)
-        with store.open_output_stream(aside) as out:
-            out.write("\n".join([*lines, ""]).encode())
-        if isinstance(store, fs.LocalFileSystem):
-            try:
-                os.link(aside, target)
-            except FileExistsError:
-                return False
-            return True
-        if store.get_file_info(target).type != fs.FileType.NotFound:
-            return False
-        store.move(aside, target)
-        return True
+        return put_if_absent(store, f"{top}/commits", f"{self.log}.{batch}.json", "\n".join([*lines, ""]).encode())
 
 
 class StreamFiles(_Files, DataSourceStreamArrowWriter):
