@@ -184,7 +184,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
 
 
 def oracle() -> str:
-    """The same scan in SQL: shares of template shingles in each window, the best per document."""
+    """The same scan in SQL: shares of template shingles in each window, rivals told apart, the best per document."""
     rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in sorted(TEMPLATES.items()))
     word = r"'[\p{L}\p{N}_]+'"
     runs = "array_to_string(ws[i : i + 4], ' ')"
@@ -195,9 +195,16 @@ WITH t AS (SELECT name, regexp_extract_all(lower(body), {word}) AS ws FROM (VALU
      d AS (SELECT doc_id, regexp_extract_all(lower(text), {word}) AS ws FROM documents WHERE text IS NOT NULL),
      ds AS (SELECT doc_id, i - 1 AS p, {runs} AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
      h AS (SELECT doc_id, name, s, n, w, p FROM ds JOIN ts USING (s) JOIN tn USING (name)),
-     k AS (SELECT doc_id, name, s, n, w, unnest([p // (w // 2) - 1, p // (w // 2)]) AS win FROM h),
-     c AS (SELECT doc_id, name, win * (w // 2) AS first_word, CAST(count(DISTINCT s) AS DOUBLE) / any_value(n) AS containment
-           FROM k WHERE win >= 0 GROUP BY doc_id, name, win, w)
+     k AS (SELECT doc_id, name, s, n, w, p, unnest([p // (w // 2) - 1, p // (w // 2)]) AS win FROM h),
+     c AS (SELECT doc_id, name, win, win * (w // 2) AS first_word, CAST(count(DISTINCT s) AS DOUBLE) / any_value(n) AS containment
+           FROM k WHERE win >= 0 GROUP BY doc_id, name, win, w HAVING containment >= 0.8::DOUBLE),
+     m AS (SELECT c.*, p FROM c JOIN k USING (doc_id, name, win)),
+     o AS (SELECT a.name, b.name AS rival FROM ts a JOIN ts b ON a.s = b.s AND a.name <> b.name JOIN tn x ON x.name = a.name JOIN tn y ON y.name = b.name
+           GROUP BY a.name, b.name, x.n, y.n HAVING count(*) < x.n AND count(*) < y.n),
+     r AS (SELECT doc_id, o.name, p, max(containment) AS stronger FROM m JOIN o ON m.name = o.rival GROUP BY ALL),
+     f AS (SELECT m.doc_id, m.name, any_value(containment) AS containment, any_value(first_word) AS first_word
+           FROM m LEFT JOIN r ON r.doc_id = m.doc_id AND r.name = m.name AND r.p = m.p
+           GROUP BY m.doc_id, m.name, win HAVING bool_or(coalesce(stronger, 0) <= containment))
 SELECT doc_id, name AS license, max(containment) AS containment, CAST(arg_min(first_word, (-containment, first_word)) AS BIGINT) AS first_word
-FROM c WHERE containment >= 0.8::DOUBLE GROUP BY doc_id, name
+FROM f GROUP BY doc_id, name
 """

@@ -200,17 +200,35 @@ def test_registers_estimate_weighted_similarity():
 def test_license_scan_against_all_windows(spark):
     rng, names = random.Random(2), sorted(license_scan.TEMPLATES)
     texts = [prose(rng, rng.randint(0, 90)) + " " + license_scan.TEMPLATES[rng.choice(names)] + " " + prose(rng, 30) for _ in range(40)]
+    gpl = [license_scan.TEMPLATES[n] for n in ("GPL-2.0", "GPL-3.0")]
+    texts += [gpl[0], gpl[1], " ".join(gpl), gpl[1] + " " + prose(rng, 60) + " " + gpl[0], gpl[0].replace("version 2", "version 4")]
     docs = frame(spark, texts + ODD + ["plain words only here and nothing else at all"])
     sets = {n: set(_bag(t)) for n, t in license_scan.TEMPLATES.items() if len(re.findall(r"\w+", t)) >= 5}
+    rivals = {n: [m for m, t in sets.items() if m != n and s & t and s - t and t - s] for n, s in sets.items()}
+    assert "GPL-3.0" in rivals["GPL-2.0"]
     want = set()
     for i, text in enumerate(texts):
         w = re.findall(r"\w+", text.lower())
         runs = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        matches = []
         for n, s in sets.items():
             size = license_scan.window_size(len(s))
-            shares = [len(set(runs[k : k + size]) & s) / len(s) for k in range(0, max(1, len(runs)), size // 2)]
-            if max(shares) >= 0.8:
-                want.add((i, n, max(shares), shares.index(max(shares)) * (size // 2)))
+            for k in range(0, max(1, len(runs)), size // 2):
+                share = len(set(runs[k : k + size]) & s) / len(s)
+                if share >= 0.8:
+                    matches.append((n, share, k, {p for p in range(k, min(k + size, len(runs))) if runs[p] in s}))
+        for n in sets:
+            # A place counts if no rival's match over it is stronger.
+            counts = [
+                (-share, k)
+                for m, share, k, at in matches
+                if m == n and any(all(p not in there or other <= share for r, other, _, there in matches if r in rivals[n]) for p in at)
+            ]
+            if counts:
+                want.add((i, n, -min(counts)[0], min(counts)[1]))
+    found = {(i, n) for i, n, *_ in want if i >= 40}
+    assert found >= {(40, "GPL-2.0"), (41, "GPL-3.0"), (42, "GPL-2.0"), (42, "GPL-3.0"), (43, "GPL-2.0"), (43, "GPL-3.0")}
+    assert not found & {(40, "GPL-3.0"), (41, "GPL-2.0")}
     assert {tuple(r) for r in license_scan.scan(docs).collect()} == want
     assert license_scan.scan(docs.limit(0)).count() == 0
 
