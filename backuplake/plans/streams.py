@@ -186,6 +186,24 @@ def str_10(spark, d):
     return run_to_end(stateful.dirty_triggers(rows), "str10").select("device_id", "trigger_no")
 
 
+@query(
+    "str_10_dirty_trigger_blocks",
+    """SELECT device_id, unnest(generate_series(1, n // 1001)) AS trigger_no FROM (
+       SELECT device_id, count(DISTINCT block_number) AS n FROM writes GROUP BY 1)""",
+    "writes",
+)
+def str_10_blocks(spark, d):
+    """The same triggers, numbered in blocks: no device's writes are gathered in one task."""
+    rows = _stream(spark, d, "lineitem").select(
+        (F.col("l_suppkey") % 10).alias("device_id"),
+        F.col("l_partkey").alias("block_number"),
+        F.col("l_shipdate").cast("timestamp").alias("ts"),
+    )
+    path = shared_path(spark, "dirty")
+    run_to_end(rows, "str10blocks", sink=stateful.dirty_trigger_writer(path))
+    return spark.read.parquet(f"{path}/triggers").select("device_id", "trigger_no")
+
+
 @query(
     "str_11_job_progress",
     """SELECT l_orderkey AS job_id, count(*) FILTER (l_returnflag <> 'R') AS processed_files, count(*) AS total_files,

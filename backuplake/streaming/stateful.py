@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
+from backuplake.operators.ordered import running_totals
 from backuplake.operators.windows import consume_quota
 from backuplake.sources.sinks import batch_writer
 
@@ -161,17 +162,8 @@ def admission_writer(
     keys = ["tenant_id", "resource"]
     write, keep = batch_writer(f"{path}/admitted"), batch_writer(f"{path}/usage")
 
-    def usage(spark: SparkSession, batch_id: int) -> DataFrame | None:
-        for earlier in range(batch_id - 1, -1, -1):
-            try:
-                return spark.read.parquet(f"{path}/usage/batch_id={earlier}")
-            except AnalysisException as missing:
-                if missing.getCondition() != "PATH_NOT_FOUND":
-                    raise
-        return None
-
     def step(batch: DataFrame, batch_id: int) -> None:
-        used = usage(batch.sparkSession, batch_id)
+        used = _before(batch.sparkSession, f"{path}/usage", batch_id)
         out = consume_quota(batch, limits, keys=keys, default_limit=default_limit, warn_share=warn_share, used=used)
         write(out, batch_id)
         done = batch.sparkSession.read.schema(out.schema).parquet(f"{path}/admitted/batch_id={batch_id}")
@@ -181,6 +173,52 @@ def admission_writer(
     return step
 
 
+def _before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What the newest batch before this one wrote to `path`."""
+    for earlier in range(batch_id - 1, -1, -1):
+        try:
+            return spark.read.parquet(f"{path}/batch_id={earlier}")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return None
+
+
+def dirty_trigger_writer(path: str, threshold: int = 1000) -> Callable[[DataFrame, int], None]:
+    """Triggers on the write stream, as a `foreachBatch` target: a hot device is cut into blocks.
+
+    Batches of `writes` (device_id, block_number, ts). Blocks that no earlier batch saw are numbered per device, in order
+    of time within the batch, on from the count of the batches before; every `threshold + 1`-th one fires. Each batch
+    writes its new blocks to `path`/dirty, the counts after it to `path`/counts and what fired to `path`/triggers, and reads
+    only what earlier batches wrote, so a replayed batch gives the same rows. Rows without a device or block are no writes.
+    """
+    keys = ["device_id", "block_number"]
+    dirty, counts, fired = (batch_writer(f"{path}/{name}") for name in ("dirty", "counts", "triggers"))
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.filter("device_id IS NOT NULL AND block_number IS NOT NULL").groupBy(*keys).agg(F.min("ts").alias("ts"))
+        if batch_id:
+            kinds = ", ".join(f"{k} {batch.schema[k].dataType.simpleString()}" for k in keys)
+            # Both sides are unique, so there is no hot key.
+            stored = spark.read.schema(f"{kinds}, batch_id int").parquet(f"{path}/dirty").filter(F.col("batch_id") < batch_id)
+            fresh = fresh.join(stored.select(*keys), keys, "left_anti")
+        dirty(fresh, batch_id)
+        fresh = spark.read.parquet(f"{path}/dirty/batch_id={batch_id}")
+        numbered = running_totals(fresh, ["device_id"], ["ts", "block_number"], {"number": F.lit(1).cast("bigint")})
+        before = _before(spark, f"{path}/counts", batch_id)
+        now = fresh.groupBy("device_id").agg(F.count(F.lit(1)).alias("seen"))
+        if before is not None:
+            # One written row per device, so a hot device of the batch can be split.
+            numbered = numbered.join(before, "device_id", "left").withColumn("number", F.col("number") + F.coalesce("seen", F.lit(0))).drop("seen")
+            now = now.unionByName(before).groupBy("device_id").agg(F.sum("seen").alias("seen"))
+        hits = numbered.filter(F.col("number") % (threshold + 1) == 0)
+        fired(hits.select(*keys, "ts", F.floor(F.col("number") / (threshold + 1)).alias("trigger_no")), batch_id)
+        counts(now, batch_id)
+
+    return step
+
+
 def dirty_triggers(writes: DataFrame, threshold: int = 1000) -> DataFrame:
     """Incremental triggers on the write stream.
 
