@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from backuplake.operators import aggregates as agg
-from backuplake.operators import filters, joins, merkle, sets
+from backuplake.operators import filters, joins, merkle, sets, sketches
 from backuplake.plans.registry import query
+from backuplake.session import pin
 from backuplake.sources import bindings as b
 
 
@@ -333,6 +334,25 @@ def agg_10(spark, d):
     return agg.dedup_stats(rows.select("digest", F.col("length").alias("size")))
 
 
+@query(
+    "agg_10_span_sketches",
+    """WITH r AS (SELECT year("timestamp") AS "year", device_id % 5 AS devices, chunk_id, chunk_id % 1000 + 1 AS size FROM versions)
+       SELECT CAST("year" AS BIGINT) AS "year", devices, count(*) AS "references", CAST(sum(size) AS BIGINT) AS bytes,
+         count(DISTINCT chunk_id) AS distinct_chunks, CAST(sum(DISTINCT chunk_id * 1000 + size) - 1000 * sum(DISTINCT chunk_id) AS BIGINT) AS distinct_bytes
+       FROM r GROUP BY ALL""",
+    "versions",
+)
+def agg_10_spans(spark, d):
+    """Distinct chunks per year and group of devices, merged from sketches per day and device; exact up to 4,096."""
+    rows = b.versions(spark, d).select(
+        F.to_date("timestamp").alias("day"), "device_id", F.col("chunk_id").alias("digest"), (F.col("chunk_id") % 1000 + 1).alias("size")
+    )
+    stored = pin(sketches.sketch(rows, ["day", "device_id"]), "sketches")
+    spans = stored.withColumns({"year": F.year("day").cast("bigint"), "devices": F.col("device_id") % 5})
+    keys = ["year", "devices"]
+    return sketches.estimates(sketches.merge(spans, keys), keys).drop("relative_error")
+
+
 @query(
     "agg_11_synthetic_ratios",
     """WITH c AS (SELECT chunk_id, size, stored FROM (SELECT chunk_id, size, size // 3 + 1 AS stored FROM versions WHERE NOT is_deleted)),
