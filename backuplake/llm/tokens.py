@@ -106,18 +106,23 @@ class Encoder:
 
     def _unit(self, key: str) -> bytes:
         """Ids of a unit. Its key is itself without its leading space; those without one are marked."""
-        by_words, piece = self.by_words, self._piece
-        if key.isalpha() and key.isascii():
-            return piece(key.lower() if by_words else "\u0120" + key)
+        by_words, plain = self.by_words, key.isascii()
+        if plain and key.isalpha():
+            return self._fresh(key.lower() if by_words else "\u0120" + key)
         unit = key if by_words or key[:1] == "\n" else key[1:] if key[:1] == "\0" else " " + key
-        if not (key.isascii() or _PLAIN.fullmatch(unit)):
+        if not (plain or _PLAIN.fullmatch(unit)):
             return self._packed(self.whole.encode(unit, add_special_tokens=False).ids)
         if by_words:
-            unit = unit.lower() if key.isascii() else unicodedata.normalize("NFC", unit).lower()
-        if unit[-1:] in _STOPS and key[:-1].isalpha():
-            # Letters and one mark: what the pattern finds, without asking it.
-            return piece(spelled(unit[:-1])) + piece(unit[-1])
-        return b"".join([piece(spelled(p)) for p in self.pattern.findall(unit)])
+            unit = unit.lower() if plain else unicodedata.normalize("NFC", unit).lower()
+        if key[-1:] in _STOPS and key[:-1].isalpha() and unit[:-1].lstrip(" ").isalpha():
+            # Letters and one mark (also once lowered): what the pattern finds, without asking it; the letters are a unit of their own.
+            known = self.units.get(key[:-1])
+            if known is None:
+                known = self.units[key[:-1]] = self._unit(key[:-1])
+            return known + self._piece(key[-1])
+        if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()):
+            return self._fresh(spelled(unit))
+        return b"".join([self._piece(spelled(p)) for p in self.pattern.findall(unit)])
 
     def _add(self, new: Sequence[str]) -> dict[str, bytes]:
         """Ids of new units."""
@@ -125,28 +130,30 @@ class Encoder:
             self.units.clear()
             self.pieces.clear()
             self.held = 0
-        unit, pieces = self._unit, len(self.pieces)
+        unit, before = self._unit, len(self.units) + len(self.pieces)
         out = {key: unit(key) for key in new}
-        long = [key for key in new if len(key) > LONGEST]
         self.units.update(out)
-        for key in long:
+        # Parts of units are no longer than the units they came from.
+        self.held += sum(map(len, out)) + sum(map(len, out.values())) + ENTRY_BYTES * (len(self.units) + len(self.pieces) - before)
+        for key in [key for key in new if len(key) > LONGEST]:
             del self.units[key]
-        text = sum(map(len, out)) + sum(map(len, out.values()))
-        # Pieces are no longer than the units they came from.
-        self.held += text + ENTRY_BYTES * (len(out) + len(self.pieces) - pieces)
+            self.units.pop(key[:-1], None)
         return out
 
     def _packed(self, ids: Sequence[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def _piece(self, letters: str) -> bytes:
+    def _fresh(self, letters: str) -> bytes:
         """Ids of one piece in the model's letters."""
+        if self.long and len(letters) > self.long.longest:
+            return self._packed(self.long.encode(letters))
+        return self._packed([t.id for t in self.model.tokenize(letters)])
+
+    def _piece(self, letters: str) -> bytes:
+        """The same, remembered."""
         known = self.pieces.get(letters)
         if known is None:
-            if self.long and len(letters) > self.long.longest:
-                known = self._packed(self.long.encode(letters))
-            else:
-                known = self._packed([t.id for t in self.model.tokenize(letters)])
+            known = self._fresh(letters)
             if len(letters) <= LONGEST:
                 self.pieces[letters] = known
         return known

@@ -51,6 +51,19 @@ def test_units_give_the_librarys_ids(path):
         assert coder.decode(coder.ids(data)) == coder.whole.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_units_with_marks_and_letters_beyond_ascii(path, monkeypatch):
+    """Words with a mark, of every kind of letter, with tables that are always full."""
+    rng, coder = random.Random(8), Encoder(path, bpe.Tree)
+    monkeypatch.setattr("backuplake.llm.tokens.KNOWN_BYTES", 2000)
+    letters = ["ab", "Cd", "ä", "ß", "É", "İ", "ı", "ŉ", "ª", "ǰ", "e\u0301", "中", "Σ", "x" * 300, "7", "'", "-", "’"]
+    for _ in range(400):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 5))) + rng.choice(["", ".", ",", "!", "?", ";", ":", "..", "\""]) for _ in range(12)]
+        text = "".join(w + rng.choice([" ", " ", "\n", "  "]) for w in words)
+        (data,) = coder.encode([text])
+        assert coder.ids(data).tolist() == coder.whole.encode(text, add_special_tokens=False).ids
+
+
 def test_joined_halves_are_the_encoding():
     rng, coder = random.Random(3), Encoder(WORD, bpe.Tree)
     coder.long.longest = 8
