@@ -391,7 +391,8 @@ def search_counted(docs: DataFrame, benchmark: DataFrame, k: int = 10, seed_docs
         floors = [1] * len(items.ids)
         if count > seed_docs:
             share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (seed_docs << 30) // count
-            seed = _ranked(_search(read.filter(share).coalesce(1).limit(seed_docs), items, queries, floors, count, total, k), k)
+            # The limit makes one partition of the rows that are left.
+            seed = _ranked(_search(read.filter(share).limit(seed_docs), items, queries, floors, count, total, k), k)
             place = {i: n for n, i in enumerate(items.ids)}
             # k rows per item of this run at most.
             for row in seed.filter(F.col("rank") == k).collect():
