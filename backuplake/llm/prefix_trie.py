@@ -205,7 +205,8 @@ def tour(tree: DataFrame, ends: DataFrame) -> DataFrame:
     size = tree.count()
     ranked = pin(distances(leaving.unionByName(entering)).unionByName(root), "ranked")
     at = ranked.select(F.col("c").alias("conv_id"), F.col("d").alias("depth"), (F.lit(2 * size - 1) - F.col("far")).alias("leave"))
-    bottom = at.filter("depth < 0").withColumnRenamed("leave", "_bottom").drop("depth").join(last, "conv_id")
+    # Written: the long run of one conversation can then be split where it meets its one row here.
+    bottom = pin(at.filter("depth < 0").withColumnRenamed("leave", "_bottom").drop("depth").join(last, "conv_id"), "bottoms")
     placed = at.filter("depth >= 0").join(bottom, "conv_id")
     return placed.select("conv_id", "depth", (F.col("_bottom") - F.col("last") + F.col("depth")).alias("enter"), "leave")
 
