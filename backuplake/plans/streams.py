@@ -15,7 +15,7 @@ from backuplake.session import shared_path
 from backuplake.sources import bindings as b
 from backuplake.sources import committed, readers, sinks
 from backuplake.streaming import events as se
-from backuplake.streaming import stateful
+from backuplake.streaming import digest_index, stateful
 from backuplake.streaming.run import run_to_end
 
 
@@ -290,3 +290,17 @@ def str_12(spark, d):
     path = shared_path(spark, "chunk-index")
     run_to_end(rows, "str12", sink=se.first_seen_writer(path))
     return spark.read.parquet(path).select("digest")
+
+
+@query("str_12_digest_index", "SELECT DISTINCT l_partkey AS digest FROM lineitem")
+def str_12_index(spark, d):
+    """The new digests of all batches: those of lines shipped early, of a stream of all, and of the early ones again."""
+    rows = b.read(spark, d, "lineitem").select(F.col("l_partkey").alias("digest"), "l_shipdate")
+    early = rows.filter("l_shipdate < TIMESTAMP_NTZ'1995-01-01'")
+    path = shared_path(spark, "digest-index")
+    digest_index.add(early, 0, path)
+    stream = _stream(spark, d, "lineitem").select(F.col("l_partkey").alias("digest"))
+    run_to_end(stream, "str12index", sink=lambda batch, n: digest_index.add(batch, n + 1, path))
+    last = spark.read.parquet(f"{path}/steps").agg(F.max("batch_id")).first()[0]
+    digest_index.add(early, last + 1, path)
+    return digest_index.new_digests(spark, path, "bigint").select("digest")
