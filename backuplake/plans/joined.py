@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from backuplake.operators import aggregates as agg
-from backuplake.operators import filters, joins, merkle, sets, sketches
+from backuplake.operators import file_sets, filters, joins, merkle, sets, sketches
 from backuplake.plans.registry import query
 from backuplake.session import pin
 from backuplake.sources import bindings as b
@@ -319,6 +319,25 @@ def agg_09(spark, d):
     return agg.reference_counts(changes)
 
 
+@query(
+    "agg_09_file_sets",
+    """WITH live AS (SELECT DISTINCT chunk_id, path FROM versions EXCEPT SELECT chunk_id, path FROM versions WHERE is_deleted)
+       SELECT chunk_id, count(*) AS file_count, min(path) AS first_path, max(path) AS last_path FROM live GROUP BY 1""",
+    "versions",
+)
+def agg_09_sets(spark, d):
+    """The files that still hold a chunk, from sets of all references less those deleted."""
+    rows = b.versions(spark, d).select("chunk_id", "path", "is_deleted").distinct()
+    numbers = file_sets.numbered(rows, "path")
+    references = pin(rows.join(numbers, "path").select("chunk_id", "file_no", "is_deleted"), "references")
+    stored = pin(file_sets.build(references, "chunk_id"), "file-sets")
+    gone = file_sets.build(references.filter("is_deleted"), "chunk_id")
+    live = pin(file_sets.combine(stored, gone, "chunk_id", "difference"), "live-sets")
+    named = file_sets.members(live, ["chunk_id"]).join(numbers, "file_no")
+    ends = named.groupBy("chunk_id").agg(F.min("path").alias("first_path"), F.max("path").alias("last_path"))
+    return file_sets.counts(live, "chunk_id").join(ends, "chunk_id")
+
+
 DEDUP_SQL = """SELECT CAST(sum(n) AS BIGINT) AS total_chunks, count(*) AS unique_chunks, CAST(sum(n * size) AS BIGINT) AS logical_bytes,
     CAST(sum(size) AS BIGINT) AS unique_bytes, CAST(sum(n * size) AS DOUBLE) / CAST(sum(size) AS BIGINT) AS dedup_ratio,
     CAST(sum(n * size) - sum(size) AS BIGINT) AS saved_bytes,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from backuplake import schemas
 from backuplake.functions import features, text
-from backuplake.operators import filters, projections, sorting, windows
+from backuplake.operators import filters, path_index, projections, sorting, windows
 from backuplake.plans.registry import query
 from backuplake.session import shared_path
 from backuplake.sources import bindings as b
@@ -410,6 +413,27 @@ def flt_07(spark, d):
     return filters.search_files(named, "BOX3", [".jpg", ".TXT"]).select("snapshot_id", "path", "name")
 
 
+@query(
+    "flt_07_path_index",
+    """WITH p AS (SELECT DISTINCT path, regexp_extract(path, '[^/]*$') AS name FROM snapshots)
+       SELECT 'text' AS kind, path FROM p WHERE lower(path) LIKE '%box3%' AND (lower(name) LIKE '%.jpg' OR lower(name) LIKE '%.txt')
+       UNION ALL SELECT 'name', path FROM p WHERE lower(name) LIKE '%f12%'
+       UNION ALL SELECT 'short', path FROM p WHERE lower(path) LIKE '%x6%'
+       UNION ALL SELECT 'pattern', path FROM p WHERE path LIKE '/set1%/Box_/%9.pdf'""",
+    "snapshots",
+)
+def flt_07_index(spark, d):
+    """Four searches through one trigram index, one of them too short for it."""
+    index = path_index.build(b.snapshots(spark, d))
+    found = {
+        "text": path_index.search(index, "BOX3", [".jpg", ".TXT"]),
+        "name": path_index.search(index, "F12", name_only=True),
+        "short": path_index.search(index, "x6"),
+        "pattern": path_index.like(index, "/set1%/Box_/%9.pdf"),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), "path") for kind, df in found.items()])
+
+
 @query(
     "flt_08_file_class",
     """SELECT snapshot_id, path FROM snapshots WHERE path LIKE '%.jpg' OR path LIKE '%.pdf' OR path LIKE '%.txt'""",
