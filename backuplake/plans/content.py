@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from backuplake.functions.features import digest
-from backuplake.jobs import chunking, cleanup, codecs, crypto, dedup, erasure, placement, replay, restore
+from backuplake.jobs import chunking, cleanup, codecs, crypto, dedup, erasure, long_files, placement, replay, restore
 from backuplake.operators import joins
 from backuplake.plans.joined import FAILOVER_SQL, _REPLICAS
 from backuplake.plans.registry import query
@@ -51,6 +51,26 @@ def job_03(spark, d):
     return whole.select("file_id", "bytes", digest(F.col("data")).alias("digest"), fits.alias("sizes_ok"))
 
 
+@query(
+    "job_03_range_chunks",
+    """SELECT doc_id AS file_id, octet_length(encode(text)) AS bytes, sha256(encode(text)) AS digest, TRUE AS sizes_ok FROM documents WHERE text <> ''""",
+)
+def job_03_ranges(spark, d):
+    """The same chunks, found in byte ranges shorter than a chunk may be."""
+    low, bits, high = 512, 10, 8192
+    ranges = long_files.ranges_of(b.files(spark, d).select("file_id", "data"), ["file_id"], bits, 4096)
+    rows = long_files.split_ranges(ranges, ["file_id"], low, bits, high)
+    whole = chunking.reassemble(
+        rows.withColumnRenamed("start", "pos"),
+        ["file_id"],
+        bytes=F.sum("length"),
+        longest=F.max("length"),
+        short=F.count_if(F.col("length") < low) - F.when(F.max(F.struct("pos", "length"))["length"] < low, 1).otherwise(0),
+    )
+    fits = (F.col("longest") <= high) & (F.col("short") == 0)
+    return whole.select("file_id", "bytes", digest(F.col("data")).alias("digest"), fits.alias("sizes_ok"))
+
+
 @query(
     "job_04_dedup",
     """SELECT digest, f[1] AS first_file_id, f[2] AS first_pos, ref_count, length, (ref_count - 1) * length AS saved_bytes FROM (
