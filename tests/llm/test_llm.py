@@ -295,6 +295,15 @@ def test_nearest_neighbours(spark):
     assert ann.search(vectors(spark, bad[:2]), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_neighbours_of_any_length(spark):
+    rng = np.random.default_rng(12)
+    v = rng.standard_normal((60, 8))
+    lengths = np.array([1.0, 1e200, 1e-200])[np.arange(60) % 3]
+    got = ann.search(vectors(spark, [(i, [float(x) for x in r], "v", 1) for i, r in enumerate(v * lengths[:, None])]), F.col("vec_id") % 50 == 0).collect()
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    assert len(got) == 10 and all(abs(r["score"] - unit[r["query_id"]] @ unit[r["vec_id"]]) < 1e-12 for r in got)
+
+
 def test_language(spark):
     rng = random.Random(6)
     en, de = "the and with this that where should".split(), "der und nicht schön über können straße".split()
