@@ -12,8 +12,7 @@ different components afterwards are compared with each other where the distances
 metric, leave a similarity of `threshold` possible and enough registers agree in a few bits. The
 components of the links are the classes.
 
-Texts that are null or have no word have no shingles: each is a class of its own, but equal ones are
-still folded. Rows with a null id take no part. A repeated id counts with each of its texts, and all
+Texts without a word have no shingles: only equal ones fold into one class, and null counts as empty. Rows with a null id take no part. A repeated id counts with each of its texts, and all
 of them share a class. Only `doc_id` and `text` are read. An empty table gives no rows.
 """
 
@@ -123,6 +122,11 @@ def planes(marks: np.ndarray) -> np.ndarray:
     return np.concatenate([np.packbits(b, axis=1).view("<i8") for b in bits], axis=1)
 
 
+def text_key(text: str, own: np.ndarray) -> bytes:
+    """Digest of the word sequence; of the text itself if it has no word."""
+    return xxhash.xxh3_128_digest(own.tobytes() if len(own) else b"text:" + text.encode("utf-8", "surrogatepass"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, key (digest of the word sequence), size (units), bands, planes."""
     schema = pa.schema(
@@ -148,7 +152,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             held = 0
             for i, text in enumerate(batch.column("text").to_pylist()):
                 own = hashed(text or "")
-                keys.append(xxhash.xxh3_128_digest(own.tobytes()))
+                keys.append(text_key(text or "", own))
                 if len(own):
                     waiting.append((i, levels(*units(shingles(own, SHINGLE)))))
                     held += len(own)
@@ -175,7 +179,7 @@ def contents(docs: DataFrame, ids: DataFrame) -> DataFrame:
             keys, bags = [], []
             for text in batch.column("text").to_pylist():
                 own = hashed(text or "")
-                keys.append(xxhash.xxh3_128_digest(own.tobytes()))
+                keys.append(text_key(text or "", own))
                 bags.append(np.sort(levels(*units(shingles(own, SHINGLE)))).tobytes() if len(own) else b"")
             columns = [batch.column("doc_id").cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(bags, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)

@@ -100,8 +100,8 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Weighted Jaccard similarity of all pairs that share a shingle, and the components of the links.
 ORACLES["op6_near_dedup"] = r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents),
-     k AS (SELECT doc_id, array_to_string(ws, ' ') AS k, ws FROM w),
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents),
+     k AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN '!' || text ELSE array_to_string(ws, ' ') END AS k, ws FROM w),
      f AS (SELECT k, min(doc_id) AS rep, any_value(ws) AS ws FROM k GROUP BY k),
      sh AS (SELECT rep, array_to_string(ws[i : i + 4], ' ') AS s
             FROM (SELECT rep, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM f WHERE len(ws) > 0)),

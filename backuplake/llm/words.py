@@ -47,7 +47,9 @@ class Words:
                     run = runs[i]
                     value = known.get(run)
                     if value is None:
-                        parts = [run.lower()] if run.isalnum() else _WORD.findall(run.lower())
+                        low = run.lower()
+                        # Lower-casing may add marks, which part words.
+                        parts = [low] if low.isalnum() else _WORD.findall(low)
                         value = b"".join([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")).to_bytes(8, "little") for w in parts])
                         known[run] = value
                     found[i] = value
