@@ -93,8 +93,12 @@ def with_defaults(features: Column, defaults: Mapping[str, float]) -> dict[str,
 
 
 def java_hash(text: Column) -> Column:
-    """Signed 32-bit `31*h + c` string hash of ASCII text, as a long."""
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    """Signed 32-bit `31*h + c` string hash over UTF-16 units, as a long."""
+    ascii_codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    # Beyond ASCII a character is one unit of two bytes, or two of them.
+    wide = F.hex(F.encode(text, "UTF-16BE"))
+    units = F.transform(F.sequence(F.lit(1), F.greatest(F.length(wide) - 3, F.lit(1)), F.lit(4)), lambda i: F.conv(F.substring(wide, i, F.lit(4)), 16, 10).cast("long"))
+    codes = F.when(F.octet_length(text) == F.length(text), ascii_codes).otherwise(units)
     unsigned = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % F.lit(1 << 32))
     return F.when(unsigned >= (1 << 31), unsigned - (1 << 32)).otherwise(unsigned)
 

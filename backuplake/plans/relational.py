@@ -88,8 +88,8 @@ def src_03(spark, d):
     rows = b.backup_training(spark, d).withColumns(
         {"file_count": F.col("file_count").cast("int"), "total_size": F.col("total_size").cast("bigint")}
     )
-    rows.select(*schemas.column_names(schemas.BACKUP_TRAINING)).write.json(path)
-    read = spark.read.schema(schemas.BACKUP_TRAINING).json(path)
+    sinks.write_documents(rows.select(*schemas.column_names(schemas.BACKUP_TRAINING)), path)
+    read = readers.training_set(spark, path, schemas.BACKUP_TRAINING)
     return read.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("file_count").alias("files"),
@@ -174,7 +174,7 @@ def src_06(spark, d):
         F.lit("secret").alias("encryptedKey"),
     )
     sinks.write_keys(rows, path)
-    read = spark.read.schema(schemas.DEVICE_KEYS).json(path)
+    read = readers.key_registry(spark, path)
     return read.groupBy("deviceId").agg(F.count(F.lit(1)).alias("n"), F.max("createdAt").alias("newest"))
 
 

@@ -34,11 +34,20 @@ def typed_events(df: DataFrame, value: str = "value") -> DataFrame:
     return df.select(F.from_json(value, schemas.BACKUP_EVENT).alias("e")).select("e.*")
 
 
-def training_set(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Rows of a JSON training document."""
+def documents(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Rows of JSON documents: a file is an array of records, over any number of lines, or one record.
+
+    A document is read by one task; a table of them should have many files (`sinks.write_documents`). Further records after
+    the first array or record of a file are not read: files of one record per line are for `spark.read.json`.
+    """
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def training_set(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Rows of JSON training documents."""
+    return documents(spark, path, schema)
+
+
 def table(spark: SparkSession, name_or_path: str, fmt: str = "parquet", schema: StructType | str | None = None, **options: str) -> DataFrame:
     """A job, restore or snapshot table: catalog name, file path, or any connector format."""
     if fmt == "table":
@@ -95,8 +104,8 @@ def with_directories(files: DataFrame) -> DataFrame:
 
 
 def key_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Key metadata from JSON arrays or lines; key material is never part of the schema."""
-    return spark.read.schema(schemas.DEVICE_KEYS).option("multiLine", True).json(path)
+    """Key metadata from JSON arrays; key material is never part of the schema."""
+    return documents(spark, path, schemas.DEVICE_KEYS)
 
 
 def to_utc(value: Column, encoding: str) -> Column:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from backuplake import schemas
 
+#: Records of a JSON document; one task reads a document.
+DOCUMENT_ROWS = 250_000
+
 
 def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
     """`foreachBatch` target: each batch owns one partition folder and overwrites only that one."""
@@ -78,6 +82,23 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("backup_id").parquet(path)
 
 
+def write_documents(df: DataFrame, path: str, rows: int = DOCUMENT_ROWS) -> None:
+    """JSON documents: each file is one array of about `rows` records, written as a stream of lines. Null fields are left out."""
+    lines = df.select(F.to_json(F.struct(*df.columns)).alias("value")).repartition(max(1, -(-df.count() // rows)))
+
+    def array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, seen = "[", False
+        for batch in batches:
+            out = []
+            for value in batch.column(0).to_pylist():
+                out.append(before + value)
+                before, seen = ",", True
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if seen else "[]"], pa.string())], names=["value"])
+
+    lines.mapInArrow(array, "value string").write.mode("errorifexists").text(path)
+
+
 def write_keys(keys: DataFrame, path: str) -> None:
-    """Key metadata as JSON; columns outside the registry schema, such as secrets, are dropped."""
-    keys.select(*schemas.column_names(schemas.DEVICE_KEYS)).write.mode("errorifexists").json(path)
+    """Key metadata as JSON arrays; columns outside the registry schema, such as secrets, are dropped."""
+    write_documents(keys.select(*schemas.column_names(schemas.DEVICE_KEYS)), path)
