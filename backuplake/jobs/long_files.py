@@ -25,7 +25,8 @@ from backuplake.jobs.chunking import gear_table
 from backuplake.session import pin, ship
 from backuplake.sources.committed import _store
 
-RANGE_BYTES = 32 << 20
+#: Hashing takes about 24 bytes of memory for each byte of a range.
+RANGE_BYTES = 8 << 20
 #: Ranges whose maps one task composes.
 FAN = 64
 
