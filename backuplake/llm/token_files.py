@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.ipc as ipc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,6 +31,8 @@ from backuplake.session import pin, shared_path
 SEQUENCE = 2048
 #: Sequences in a batch of the file.
 BATCH = 256
+#: Bytes of text encoded at once; a longer text is a part of its own.
+PART = 1 << 23
 
 
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
@@ -113,6 +116,14 @@ class Reader:
         return np.concatenate(parts) if len(parts) != 1 else parts[0]
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in parts of about `PART` bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // PART, prepend=-1)).tolist()
+    for start, end in zip(starts, [*starts[1:], len(sizes)]):
+        yield batch.slice(start, end - start)
+
+
 def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, length: int = SEQUENCE) -> DataFrame:
     """Writes the files and returns their manifest: file, doc_id, position (in the file), n_tokens."""
     from backuplake.llm.bpe import _arrow
@@ -124,13 +135,13 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, length: int
         coder, out = encoder(path), None
         for batch in batches:
             out = out or Writer(folder, coder.dtype, length)
-            positions, sizes = [], []
-            for data in coder.encode([t or "" for t in batch.column("text").to_pylist()]):
-                ids = np.append(coder.ids(data), coder.dtype.type(end_id))
-                positions.append(out.add(ids))
-                sizes.append(len(ids))
-            columns = [pa.array([out.name] * len(sizes)), batch.column("doc_id"), pa.array(positions), pa.array(sizes)]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            for part in _parts(batch):
+                ids, sizes = coder.column(part.column("text"))
+                ends = np.cumsum(sizes)
+                start = out.add(np.insert(ids, ends, end_id))
+                positions = start + ends - sizes + np.arange(len(sizes))
+                columns = [pa.array([out.name] * len(sizes)), part.column("doc_id"), pa.array(positions), pa.array(sizes + 1)]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
         if out:
             out.close()
 

@@ -1,9 +1,9 @@
 """Encoding with public tokenizer files, a unit at a time.
 
 A unit is a stretch of text whose ids do not depend on what stands around it: a run between white
-space, or a run with the one space before it. The tokenizers library encodes each new unit once
-per worker; repeated units come from a bounded table. Files with other pre-tokenizers, texts with
-special tokens or control separators go to the library whole.
+space, or a run with the one space before it. The tokenizers library encodes each new unit; repeated
+units come from a bounded table per worker, which forgets the units not met for longest. Files with
+other pre-tokenizers, texts with special tokens or control separators go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,17 +13,19 @@ import os
 import re
 import unicodedata
 from array import array
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Bytes of units and pieces remembered per worker, about, and what an entry takes beside its text and ids; the
-#: tables start again when they are full.
-KNOWN_BYTES, ENTRY_BYTES = 150_000_000, 200
+#: Bytes of units and pieces remembered per worker, about, and what an entry takes beside its text and ids. Of units
+#: there are two tables of half of it: when the newer is full, it becomes the older, and what that held is forgotten.
+KNOWN_BYTES, ENTRY_BYTES = 240_000_000, 200
 #: Longer units and pieces are not remembered.
 LONGEST = 256
 
@@ -33,8 +35,9 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 _PLAIN = regex.compile(r"[\x20-\x7e\n\t\r\xa1-ɏ‐-‧]*")
 #: Marks that stand alone after letters, in both patterns.
 _STOPS = frozenset(".,;:!?")
-_ODD = re.compile(r"<\||[\x00\x1c-\x1f]")
-_TWO_SPACES = re.compile(r"\s\s")
+#: For Arrow: what the library must see whole, and white space beside white space, as `\s\s` in Python.
+_ODD = r"<\||[\x00\x1c-\x1f]"
+_TWO_SPACES = "[" + "".join(rf"\x{{{i:x}}}" for i in range(1 << 16) if chr(i).isspace()) + "]{2}"
 _INNER = regex.compile(r"(?<=\S)(?= \S)")
 
 
@@ -55,6 +58,13 @@ def spelled(piece: str) -> str:
     return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTERS)
 
 
+def _marks(texts: Sequence[str]) -> Iterator[tuple[bool, bool]]:
+    """Whether each text matches `_ODD`, and whether it matches `_TWO_SPACES`."""
+    for at in range(0, len(texts), 1000):
+        part = pa.array(texts[at : at + 1000], pa.large_string())
+        yield from zip(*(pc.match_substring_regex(part, p).to_numpy(zero_copy_only=False).tolist() for p in (_ODD, _TWO_SPACES)))
+
+
 class Encoder:
     """Encodes and decodes as the library does with `add_special_tokens=False`.
 
@@ -74,6 +84,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.held = 0
         self.no_decoder = spec.get("decoder") is None
@@ -82,7 +93,8 @@ class Encoder:
             merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
             suffix = {"end_of_word_suffix": model["end_of_word_suffix"]} if model.get("end_of_word_suffix") else {}
             bare = lambda **k: Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, **k))
-            self.bare = bare(**suffix)
+            # Pieces come from the tables here, so the library's own cache would only be asked in vain.
+            self.bare = bare(cache_capacity=0, **suffix)
             self.model = self.bare.model
             self.long = long_pieces(bare, suffix) if long_pieces else None
 
@@ -118,7 +130,8 @@ class Encoder:
             # Letters and one mark (also once lowered): what the pattern finds, without asking it; the letters are a unit of their own.
             known = self.units.get(key[:-1])
             if known is None:
-                known = self.units[key[:-1]] = self._unit(key[:-1])
+                known = self.older.get(key[:-1])
+                known = self.units[key[:-1]] = self._unit(key[:-1]) if known is None else known
             return known + self._piece(key[-1])
         if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()):
             return self._fresh(spelled(unit))
@@ -126,12 +139,10 @@ class Encoder:
 
     def _add(self, new: Sequence[str]) -> dict[str, bytes]:
         """Ids of new units."""
-        if self.held > KNOWN_BYTES:
-            self.units.clear()
-            self.pieces.clear()
-            self.held = 0
+        if self.held > KNOWN_BYTES // 2:
+            self.older, self.units, self.pieces, self.held = self.units, {}, {}, 0
         unit, before = self._unit, len(self.units) + len(self.pieces)
-        out = {key: unit(key) for key in new}
+        out = {key: unit(key) if known is None else known for key, known in zip(new, map(self.older.get, new))}
         self.units.update(out)
         # Parts of units are no longer than the units they came from.
         self.held += sum(map(len, out)) + sum(map(len, out.values())) + ENTRY_BYTES * (len(self.units) + len(self.pieces) - before)
@@ -158,10 +169,11 @@ class Encoder:
                 self.pieces[letters] = known
         return known
 
-    def _keys(self, text: str) -> list[str]:
+    def _keys(self, text: str, spaced: bool) -> list[str]:
+        """`spaced`: the text has white space beside white space."""
         if self.by_words:
             return text.split()
-        if _TWO_SPACES.search(text):
+        if spaced:
             parts = _INNER.split(text)
             return ["\0" + parts[0], *[p[1:] for p in parts[1:]]]
         first, *rest = text.replace("\n", " \n").split(" ")
@@ -172,7 +184,7 @@ class Encoder:
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian ids of each text, as wide as `dtype`."""
         out: list[bytes] = [b""] * len(texts)
-        rows, new, get = [], {}, self.units.get
+        rows, new = [], {}
 
         def settle() -> None:
             added = self._add(list(new))
@@ -183,12 +195,12 @@ class Encoder:
             rows.clear()
             new.clear()
 
-        for i, text in enumerate(texts):
-            if not self.pattern or _ODD.search(text):
+        for i, (text, (whole, spaced)) in enumerate(zip(texts, _marks(texts))):
+            if whole or not self.pattern:
                 out[i] = self._packed(self.whole.encode(text, add_special_tokens=False).ids)
                 continue
-            keys = self._keys(text) if text else []
-            found = list(map(get, keys))
+            keys = self._keys(text, spaced) if text else []
+            found = list(map(self.units.get, keys))
             if None not in found:
                 out[i] = b"".join(found)
                 continue
@@ -200,6 +212,43 @@ class Encoder:
         settle()
         return out
 
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column, one after the other, and how many each text has; null texts count as empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.pattern or self.by_words:
+            return self._joined(self.encode(texts.to_pylist()))
+        apart = pc.or_(pc.match_substring_regex(texts, _ODD), pc.match_substring_regex(texts, _TWO_SPACES))
+        if not pc.any(apart).as_py():
+            return self._spaced(texts)
+        ids, sizes = self._spaced(texts.filter(pc.invert(apart)))
+        plain, rest = iter(np.split(ids, np.cumsum(sizes)[:-1])), iter(self.encode(texts.filter(apart).to_pylist()))
+        return self._joined([next(rest) if a else next(plain).tobytes() for a in apart.to_pylist()])
+
+    def _joined(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
+        return self.ids(b"".join(parts)), sizes
+
+    def _spaced(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As `column`, for texts whose units are apart by one space or line end: each distinct unit is looked up once."""
+        marked = pc.binary_join_element_wise("\0", pc.replace_substring(texts, "\n", " \n"), "")
+        lists = pc.split_pattern(marked, " ")
+        coded = lists.values.dictionary_encode()
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.units.get, keys))
+        holes = [h for h, v in enumerate(found) if v is None]
+        for at in range(0, len(holes), 20_000):
+            some = holes[at : at + 20_000]
+            for h, v in zip(some, self._add([keys[h] for h in some]).values()):
+                found[h] = v
+        known, sizes = self._joined(found)
+        which = coded.indices.to_numpy()
+        each = sizes[which]
+        ends = np.append(0, np.cumsum(each))
+        # From a place in the result to the place of the same id among those of distinct units.
+        shift = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], each)
+        shift += np.arange(len(shift))
+        return known[shift], np.diff(ends[lists.offsets.to_numpy()])
+
     def ids(self, data: bytes) -> np.ndarray:
         return np.frombuffer(data, self.dtype)
 
