@@ -37,7 +37,16 @@ _PLAIN = regex.compile(r"[\x20-\x7e\n\t\r\xa1-ɏ‐-‧]*")
 _STOPS = frozenset(".,;:!?")
 #: For Arrow: what the library must see whole, and white space beside white space, as `\s\s` in Python.
 _ODD = r"<\||[\x00\x1c-\x1f]"
-_TWO_SPACES = "[" + "".join(rf"\x{{{i:x}}}" for i in range(1 << 16) if chr(i).isspace()) + "]{2}"
+_SPACE = "".join(rf"\x{{{i:x}}}" for i in range(1 << 16) if chr(i).isspace())
+_TWO_SPACES, _END_SPACES = f"[{_SPACE}]{{2}}", f"[{_SPACE}]{{2}}\\z"
+#: Of white space before a word, all but the last character is a piece of its own: it becomes a unit marked by `\0`, its
+#: spaces `\x1f` (twice, as matches do not overlap), and a line end before a word starts a unit.
+_CUTS = [
+    (f"([{_SPACE}]+)([{_SPACE}][^{_SPACE}])", " \0\\1\\2"),
+    (f" ([{_SPACE}])", "\x1f\\1"),
+    (f" ([{_SPACE}])", "\x1f\\1"),
+    (f"\n([^{_SPACE}])", " \n\\1"),
+]
 _INNER = regex.compile(r"(?<=\S)(?= \S)")
 
 
@@ -147,7 +156,7 @@ class Encoder:
         # Parts of units are no longer than the units they came from.
         self.held += sum(map(len, out)) + sum(map(len, out.values())) + ENTRY_BYTES * (len(self.units) + len(self.pieces) - before)
         for key in [key for key in new if len(key) > LONGEST]:
-            del self.units[key]
+            self.units.pop(key, None)
             self.units.pop(key[:-1], None)
         return out
 
@@ -217,7 +226,7 @@ class Encoder:
         texts = pc.fill_null(texts, "")
         if not self.pattern or self.by_words:
             return self._joined(self.encode(texts.to_pylist()))
-        apart = pc.or_(pc.match_substring_regex(texts, _ODD), pc.match_substring_regex(texts, _TWO_SPACES))
+        apart = pc.or_(pc.match_substring_regex(texts, _ODD), pc.match_substring_regex(texts, _END_SPACES))
         if not pc.any(apart).as_py():
             return self._spaced(texts)
         ids, sizes = self._spaced(texts.filter(pc.invert(apart)))
@@ -229,11 +238,21 @@ class Encoder:
         return self.ids(b"".join(parts)), sizes
 
     def _spaced(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """As `column`, for texts whose units are apart by one space or line end: each distinct unit is looked up once."""
-        marked = pc.binary_join_element_wise("\0", pc.replace_substring(texts, "\n", " \n"), "")
-        lists = pc.split_pattern(marked, " ")
+        """As `column`, for texts without control separators or white space beside white space at the end.
+
+        Each distinct unit is looked up once.
+        """
+        spaced = pc.any(pc.match_substring_regex(texts, _TWO_SPACES)).as_py()
+        if spaced:
+            for pattern, put in _CUTS:
+                texts = pc.replace_substring_regex(texts, pattern, put)
+        else:
+            texts = pc.replace_substring(texts, "\n", " \n")
+        lists = pc.split_pattern(pc.binary_join_element_wise("\0", texts, ""), " ")
         coded = lists.values.dictionary_encode()
         keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if spaced:
+            keys = [key.replace("\x1f", " ") for key in keys]
         found = list(map(self.units.get, keys))
         holes = [h for h, v in enumerate(found) if v is None]
         for at in range(0, len(holes), 20_000):

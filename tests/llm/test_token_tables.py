@@ -80,3 +80,32 @@ def test_files_of_parts_are_read_back(tmp_path):
         want = coder.whole.encode(text or "", add_special_tokens=False).ids + [0]
         assert position == at and n == len(want) and reader.ids(position, n).tolist() == want
         at += n
+
+
+def test_every_kind_of_white_space_between_words():
+    """Runs of white space in all places, with words of one letter between them."""
+    rng, coder = random.Random(6), Encoder(PATHS[1])
+    parts = [" ", " ", " ", "\n", "\n", "\t", "\r", "\xa0", "\u3000", "\u2003", "a", "b", "é", "7", ".", "'s", "word", "中"]
+    rows = ["".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(20_000)]
+    ids, sizes = coder.column(pa.array(rows, pa.string()))
+    want = [e.ids for e in coder.whole.encode_batch(rows, add_special_tokens=False)]
+    got = [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert [r for r, g, w in zip(rows, got, want) if g != w] == []
+
+
+def test_texts_with_blank_lines_share_their_units(monkeypatch):
+    """Words beside blank lines are the words they are elsewhere: no text is taken apart by itself."""
+    coder = Encoder(PATHS[1])
+    monkeypatch.setattr(coder, "encode", None)
+    rows = [f"one{a} two\n\none{b} two\n\n\n  one{a} end" for a in "abcdefgh" for b in "abcdefgh"]
+    ids, sizes = coder.column(pa.array(rows, pa.string()))
+    assert ids.tolist() == [i for t in rows for i in coder.whole.encode(t, add_special_tokens=False).ids]
+    assert len(coder.units) < 40
+
+
+@pytest.mark.parametrize("path", PATHS)
+def test_a_long_word_with_and_without_a_mark(path):
+    """Neither is remembered; the one with the mark came first."""
+    coder, text = Encoder(path, bpe.Tree), "x" * 300 + ", " + "x" * 300
+    (data,) = coder.encode([text])
+    assert coder.ids(data).tolist() == coder.whole.encode(text, add_special_tokens=False).ids
