@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from backuplake.functions import features as fx
 from backuplake.ml import features as mf
+from backuplake.ml import forest
 from backuplake.operators.sorting import best_by
 from backuplake.operators.windows import optimal_windows
 
@@ -29,7 +30,7 @@ def _stages(names: list[str]) -> list:
 
 def train_duration(training: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42) -> PipelineModel:
     """Random forest for the duration of a backup; every split sees all features."""
-    forest = RandomForestRegressor(
+    learner = RandomForestRegressor(
         featuresCol="features",
         labelCol="backup_duration",
         predictionCol="raw_duration",
@@ -39,7 +40,8 @@ def train_duration(training: DataFrame, trees: int = 100, depth: int = 10, seed:
         seed=seed,
     )
     rows = training.withColumns(mf.backup_features(training)).select(*mf.BACKUP_FEATURES, "backup_duration")
-    return Pipeline(stages=[*_stages(list(mf.BACKUP_FEATURES)), forest]).fit(rows)
+    scaling = Pipeline(stages=_stages(list(mf.BACKUP_FEATURES))).fit(rows)
+    return PipelineModel(stages=[*scaling.stages, forest.fit(learner, scaling.transform(rows))])
 
 
 def predict_duration(requests: DataFrame, model: PipelineModel | None, key: str) -> DataFrame:
