@@ -69,6 +69,56 @@ def fit(learner: RandomForestRegressor, rows: DataFrame, slice_rows: int = SLICE
     return _stored(spark, learner, levels, cuts, mean)
 
 
+def score(model: RandomForestRegressionModel, rows: DataFrame) -> DataFrame:
+    """`model.transform(rows)`, tree by tree over Arrow batches: one tree at a time stays in the cache. Same numbers, to the bit."""
+    spark = rows.sparkSession
+    ship(spark)
+    path = shared_path(spark, "forest-scored")
+    model.write().save(path)
+    stored = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").toArrow().sort_by([("treeID", "ascending"), ("id", "ascending")])
+    split = stored["split"].combine_chunks()
+    if len(split) and max(split.field("numCategories").to_pylist()) >= 0:
+        raise ValueError("only forests of ordered features")
+    tree, left, right, own = (stored[c].to_numpy() for c in ("treeID", "leftChild", "rightChild", "id"))
+    inner = left >= 0
+    limits = np.array([v[0] if v else 0.0 for v in split.field("leftCategoriesOrThreshold").to_pylist()])
+    features = np.where(inner, split.field("featureIndex").to_numpy(), 0)
+    # A leaf leads to itself.
+    after = np.stack([np.where(inner, left, own), np.where(inner, right, own)], axis=1).astype(np.int32)
+    ends = [slice(*np.searchsorted(tree, [t, t + 1])) for t in range(model.getNumTrees)]
+    # Some megabytes for a hundred trees of depth 10.
+    trees = spark.sparkContext.broadcast(
+        [(features[at].astype(np.int32), limits[at], after[at].ravel(), stored["prediction"].to_numpy()[at], _depth(after[at])) for at in ends]
+    )
+
+    @F.arrow_udf("double")
+    def mean(vectors: pa.Array) -> pa.Array:
+        if not len(vectors):
+            return pa.array([], pa.float64())
+        values = vectors.flatten().to_numpy(zero_copy_only=False)
+        base = np.arange(len(vectors)) * (len(values) // len(vectors))
+        total = np.zeros(len(vectors))
+        for features, limits, after, predictions, depth in trees.value:
+            node = np.zeros(len(vectors), np.int64)
+            for _ in range(depth):
+                beyond = ~(values.take(base + features.take(node)) <= limits.take(node))
+                node += node
+                node += beyond
+                node = after.take(node)
+            total += predictions.take(node)
+        return pa.array(total / len(trees.value))
+
+    return rows.withColumn(model.getPredictionCol(), mean(vector_to_array(model.getFeaturesCol())))
+
+
+def _depth(after: np.ndarray) -> int:
+    front, depth = np.zeros(1, np.int64), -1
+    while len(front):
+        reached = after[front]
+        front, depth = reached[reached[:, 0] != front].ravel(), depth + 1
+    return depth
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Features and labels of up to BLOCK_ROWS rows and a batch."""
     xs, ys, held = [], [], 0

@@ -52,7 +52,8 @@ def predict_duration(requests: DataFrame, model: PipelineModel | None, key: str)
         scored = base.withColumn("raw_duration", raw)
     else:
         confidence = FAILED_CONFIDENCE
-        scored = model.transform(base).drop("raw", "features")
+        *scaling, trees = model.stages
+        scored = forest.score(trees, PipelineModel(scaling).transform(base)).drop("raw", "features")
     return with_fallback(scored, confidence)
 
 

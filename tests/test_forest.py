@@ -99,3 +99,28 @@ def test_cuts():
     cuts = forest._cuts([summary(few, many, none), summary(np.array([5.0, np.inf]), many, none)], 4)
     assert cuts[0].tolist() == [3.0, 5.0] and len(cuts[2]) == 0
     assert cuts[1] == pytest.approx([24.5, 49.5, 74.5, 93.5], abs=1)
+
+
+@pytest.mark.parametrize("grown", ["here", "by Spark ML"])
+def test_scores_are_those_of_the_model_to_the_bit(spark, grown):
+    rows = frame(spark, 3000)
+    trained = forest.fit(learner(), rows) if grown == "here" else learner().fit(rows)
+    odd = spark.createDataFrame([(float("nan"), 1.0, 2.0), (float("inf"), float("-inf"), 0.0)], "a double, b double, c double")
+    odd = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features", handleInvalid="keep").transform(odd)
+    both = rows.select("features").unionByName(odd.select("features"))
+    got = forest.score(trained, trained.transform(both).withColumnRenamed("prediction", "expected"))
+    assert got.count() == 3002 and got.filter("NOT (expected <=> prediction)").isEmpty()
+
+
+def test_requests_are_not_scored_row_by_row(spark, monkeypatch):
+    """Walking all trees row by row misses the cache at nearly every step."""
+    rows = spark.range(400).select(F.col("id").cast("double").alias("file_count"), (F.col("id") * 2.0).alias("backup_duration"))
+    model = regressors.train_duration(rows, trees=3, depth=4)
+    expected = {r.file_count: r.raw_duration for r in model.transform(rows.withColumns(regressors.mf.backup_features(rows))).collect()}
+
+    def refuse(*_):
+        raise AssertionError("scored row by row")
+
+    monkeypatch.setattr(type(model.stages[-1]), "_transform", refuse)
+    scored = regressors.predict_duration(rows, model, "file_count").collect()
+    assert {r.file_count: r.predicted_duration for r in scored} == {k: max(30.0, v) for k, v in expected.items()}
