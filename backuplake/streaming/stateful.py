@@ -66,11 +66,16 @@ def stale_devices(heartbeats: DataFrame, seconds: int = 30, delay: str = "10 sec
     )
 
 
+#: Planned files for which a job keeps a list of its own, and names a task holds before it looks into the lists.
+LIST_FILES, HELD_FILES = 512, 1 << 18
+
+
 class Progress(StatefulProcessor):
     """Counts a job's finished files against its plan, each file once, until all are done.
 
-    The files seen are kept in a map of `buckets` lists, so a trigger reads and writes only the lists
-    its files fall in. With the last file all state of the job goes; without it, after `ttl_ms`, if that is given.
+    The files seen are kept in a map of lists, so a trigger reads and writes only the lists its files fall in. The plan says
+    how many lists a job has: one for `LIST_FILES` files, up to `buckets`, so small jobs are not scattered over many
+    calls. With the last file all state of the job goes; without it, after `ttl_ms`, if that is given.
     """
 
     def __init__(self, buckets: int, ttl_ms: int | None):
@@ -91,21 +96,33 @@ class Progress(StatefulProcessor):
             # Not planned, or finished.
             return
         total_files, total_bytes = self.plan.get()
-        files, size = self.done.get() if self.done.exists() else (0, 0)
-        before = files
-        for pdf in rows:
-            for bucket, part in pdf.drop_duplicates("file_id").groupby("bucket"):
-                held = list(self.seen.getValue((int(bucket),))[0]) if self.seen.containsKey((int(bucket),)) else []
-                fresh = part[~part["file_id"].isin(set(held))]
-                if len(fresh):
-                    self.seen.updateValue((int(bucket),), (held + fresh["file_id"].tolist(),))
-                    files, size = files + len(fresh), size + int(fresh["size"].sum())
+        known = self.done.exists()
+        files, size = self.done.get() if known else (0, 0)
+        before, lists, stored = files, max(1, min(self.buckets, -(-total_files // LIST_FILES))), known
+        named: dict[str, tuple[int, int]] = {}
+        for last, pdf in _and_last(rows):
+            for name, bytes_, place in zip(pdf["file_id"].tolist(), pdf["size"].tolist(), pdf["place"].tolist()):
+                named.setdefault(name, (bytes_, place))
+            if len(named) < HELD_FILES and not last:
+                continue
+            fresh, named = self._fresh(named, lists, stored), {}
+            files += sum(len(sizes) for _, sizes in fresh.values())
+            size += sum(sum(sizes.values()) for _, sizes in fresh.values())
+            if last and files >= total_files:
+                # All state goes, so nothing is added to it.
+                break
+            for bucket, (held, sizes) in fresh.items():
+                self.seen.updateValue((bucket,), (held + list(sizes),))
+            stored = stored or bool(fresh)
         if files == before:
             return
         percent = 100 if files >= total_files else min(99, size * 100 // total_bytes if total_bytes else 0)
         if percent == 100:
-            for state in (self.plan, self.done, self.seen):
-                state.clear()
+            self.plan.clear()
+            if known:
+                self.done.clear()
+            if stored:
+                self.seen.clear()
         else:
             self.done.update((files, size))
         yield pd.DataFrame(
@@ -115,10 +132,34 @@ class Progress(StatefulProcessor):
             }
         )
 
+    def _fresh(self, named: dict[str, tuple[int, int]], lists: int, stored: bool) -> dict[int, tuple[list[str], dict[str, int]]]:
+        """By list: the files it holds, and those it does not hold yet with their sizes."""
+        parts: dict[int, dict[str, int]] = {}
+        for name, (bytes_, place) in named.items():
+            parts.setdefault(place % lists, {})[name] = bytes_
+        out = {}
+        for bucket, sizes in parts.items():
+            held = list(self.seen.getValue((bucket,))[0]) if stored and self.seen.containsKey((bucket,)) else []
+            for name in held:
+                sizes.pop(name, None)
+            if sizes:
+                out[bucket] = (held, sizes)
+        return out
+
     def close(self) -> None:
         pass
 
 
+def _and_last(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFrame]]:
+    """Each part, and whether it is the last one."""
+    parts = iter(parts)
+    now = next(parts, None)
+    while now is not None:
+        after = next(parts, None)
+        yield after is None, now
+        now = after
+
+
 def progress_until_done(files: DataFrame, plan: DataFrame, buckets: int = 64, ttl: str | None = None) -> DataFrame:
     """A report per trigger of each job that came further, the last one at 100; then nothing is kept of the job.
 
@@ -134,9 +175,10 @@ def progress_until_done(files: DataFrame, plan: DataFrame, buckets: int = 64, tt
     kind = files.schema["job_id"].dataType.simpleString()
     rows = files.select(
         "job_id",
-        F.coalesce(F.col("file_id").cast("string"), F.lit("")).alias("file_id"),
+        # A null id is no file of that name.
+        F.coalesce(F.col("file_id").cast("string"), F.lit("\0")).alias("file_id"),
         F.coalesce(F.col("size"), F.lit(0)).cast("bigint").alias("size"),
-        F.pmod(F.xxhash64("file_id"), F.lit(buckets)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64("file_id"), F.lit(1 << 30)).cast("int").alias("place"),
     )
     ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
     start = plan.select("job_id", F.col("total_files").cast("bigint"), F.col("total_bytes").cast("bigint"))
