@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -99,10 +100,10 @@ class Progress(StatefulProcessor):
         known = self.done.exists()
         files, size = self.done.get() if known else (0, 0)
         before, lists, stored = files, max(1, min(self.buckets, -(-total_files // LIST_FILES))), known
-        named: dict[str, tuple[int, int]] = {}
+        named: dict[str, int] = {}
         for last, pdf in _and_last(rows):
-            for name, bytes_, place in zip(pdf["file_id"].tolist(), pdf["size"].tolist(), pdf["place"].tolist()):
-                named.setdefault(name, (bytes_, place))
+            for name, bytes_ in zip(pdf["file_id"].tolist(), pdf["size"].tolist()):
+                named.setdefault(name, bytes_)
             if len(named) < HELD_FILES and not last:
                 continue
             fresh, named = self._fresh(named, lists, stored), {}
@@ -132,11 +133,11 @@ class Progress(StatefulProcessor):
             }
         )
 
-    def _fresh(self, named: dict[str, tuple[int, int]], lists: int, stored: bool) -> dict[int, tuple[list[str], dict[str, int]]]:
+    def _fresh(self, named: dict[str, int], lists: int, stored: bool) -> dict[int, tuple[list[str], dict[str, int]]]:
         """By list: the files it holds, and those it does not hold yet with their sizes."""
-        parts: dict[int, dict[str, int]] = {}
-        for name, (bytes_, place) in named.items():
-            parts.setdefault(place % lists, {})[name] = bytes_
+        parts: dict[int, dict[str, int]] = {0: named} if lists == 1 else {}
+        for name, bytes_ in named.items() if lists > 1 else ():
+            parts.setdefault(zlib.crc32(name.encode()) % lists, {})[name] = bytes_
         out = {}
         for bucket, sizes in parts.items():
             held = list(self.seen.getValue((bucket,))[0]) if stored and self.seen.containsKey((bucket,)) else []
@@ -178,7 +179,6 @@ def progress_until_done(files: DataFrame, plan: DataFrame, buckets: int = 64, tt
         # A null id is no file of that name.
         F.coalesce(F.col("file_id").cast("string"), F.lit("\0")).alias("file_id"),
         F.coalesce(F.col("size"), F.lit(0)).cast("bigint").alias("size"),
-        F.pmod(F.xxhash64("file_id"), F.lit(1 << 30)).cast("int").alias("place"),
     )
     ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
     start = plan.select("job_id", F.col("total_files").cast("bigint"), F.col("total_bytes").cast("bigint"))

@@ -72,7 +72,7 @@ def job(total_files, total_bytes, buckets=64):
     work.handleInitialState(("j",), pd.DataFrame({"total_files": [total_files], "total_bytes": [total_bytes]}), None)
 
     def trigger(*parts):
-        rows = (pd.DataFrame({"file_id": [f"f{i}" for i in p], "size": [1] * len(p), "place": [i * 7919 % (1 << 30) for i in p]}) for p in parts)
+        rows = (pd.DataFrame({"file_id": [f"f{i}" for i in p], "size": [1] * len(p)}) for p in parts)
         return [tuple(r.iloc[0])[1:] for r in work.handleInputRows(("j",), rows, None)]
 
     return handle, trigger
