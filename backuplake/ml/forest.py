@@ -40,10 +40,11 @@ POINTS = 1024
 #: Nodes of a tree whose histograms are summed together.
 PART_NODES = 64
 
-#: Draws of a Poisson variable of mean 1 by 16 random bits.
+#: Draws of a Poisson variable of mean 1 by 16 random bits, in rising order; the first that is not 0.
 _POISSON = np.searchsorted(
     np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)]), (np.arange(1 << 16) + 0.5) / (1 << 16)
-).astype(np.uint8)
+).astype(float)
+_ONCE = np.uint16(np.searchsorted(_POISSON, 1))
 
 _FOUND = {"tree": "int", "pos": "int", "n": "double", "s": "double", "q": "double", "feature": "int", "cut": "int", "gain": "double"}
 _FOUND |= {"left_n": "double", "left_s": "double", "left_q": "double"}
@@ -275,12 +276,12 @@ def _histograms(blocks, trees, walks, places, width, bins, seed, last) -> list[t
         for t, (parts, squares), slot in zip(trees, out, slots):
             if not len(places[t]):
                 continue
-            nodes, draws = len(places[t]), np.random.Generator(np.random.SFC64([seed, t, no]))
+            nodes, draws = len(places[t]), np.random.SFC64([seed, t, no])
             all_open = nodes == len(slot)
             for lo in range(0, n, STEP_ROWS):
                 hi = min(n, lo + STEP_ROWS)
-                times = _POISSON[draws.integers(0, 1 << 16, hi - lo, dtype=np.uint16)]
-                kept = np.flatnonzero(times)
+                drawn = draws.random_raw(-(-(hi - lo) // 4)).view(np.uint16)[: hi - lo]
+                kept = np.flatnonzero(drawn >= _ONCE)
                 base, at = (kept + lo) * width, np.zeros(len(kept), np.int64)
                 for level, (features, limits) in enumerate(walks[t]):
                     if level:
@@ -294,7 +295,7 @@ def _histograms(blocks, trees, walks, places, width, bins, seed, last) -> list[t
                 if not all_open:
                     still = np.flatnonzero(node >= 0)
                     node, base, kept = node[still], base[still], kept[still]
-                weight, y = times[kept].astype(float), labels[lo:hi][kept]
+                weight, y = _POISSON.take(drawn.take(kept)), labels[lo:hi].take(kept)
                 measures = [weight, weight * y]
                 measures.append(measures[1] * y)
                 squares += np.bincount(node, measures[2], nodes)
